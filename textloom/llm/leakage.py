@@ -35,40 +35,24 @@ def seed_hashes(codes: np.ndarray, mask: int, step: int = 1) -> np.ndarray:
     return mix64(h ^ np.uint64(mask))
 
 
-def _runs(text: str, length: int) -> np.ndarray:
-    """A hash of each window of `length` characters."""
-    c = code_points(text).astype(np.uint64)
-    n = len(c) - length + 1
-    h = np.zeros(max(n, 0), np.uint64)
-    for i in range(length if n > 0 else 0):
-        h = h * np.uint64(0x100000001B3) + c[i : i + n]
-    return mix64(h)
-
-
-def coverage(item: str, doc: str, run: int = RUN) -> int:
-    """Characters of `item` in runs of `run` or more that stand in `doc` (both in comparison form)."""
-    n = len(item) - run + 1
-    if n <= 0 or len(doc) < run:
-        return 0
-    hit, last = 0, -1
-    for i in np.flatnonzero(np.isin(_runs(item, run), _runs(doc, run))).tolist():
-        if item[i : i + run] in doc:
-            hit += i + run - max(last, i)
-            last = i + run
-    return hit
-
-
-def tolerant_coverage(item: np.ndarray, doc: np.ndarray, diagonals: list[int], window: int = RUN, wrong: int = 3) -> int:
-    """Characters of `item` in windows along the hit diagonals with at most `wrong` substitutions."""
-    mark = np.zeros(len(item), bool)
+def covered(item: np.ndarray, doc: np.ndarray, diagonals: list[int], window: int = RUN, wrong: int = 3) -> tuple[int, int]:
+    """Characters of `item` along the hit diagonals in windows that equal the document, and in windows with at most
+    `wrong` substitutions. Every run of RUN characters or more has a hit on its diagonal, so the first count is exact.
+    """
+    exact, loose = np.zeros(len(item) + 1, np.int32), np.zeros(len(item) + 1, np.int32)
     for d in diagonals:
         lo, hi = max(0, -d), min(len(item), len(doc) - d)
         if hi - lo < window:
             continue
-        bad = np.concatenate([[0], np.cumsum(item[lo:hi] != doc[lo + d : hi + d])])
-        for i in np.flatnonzero(bad[window:] - bad[:-window] <= wrong).tolist():
-            mark[lo + i : lo + i + window] = True
-    return int(mark.sum())
+        bad = np.zeros(hi - lo + 1, np.int32)
+        np.cumsum(item[lo:hi] != doc[lo + d : hi + d], out=bad[1:])
+        gaps = bad[window:] - bad[:-window]
+        for marks, most in ((exact, 0), (loose, wrong)):
+            at = np.flatnonzero(gaps <= most)
+            if len(at):
+                marks[lo + at] += 1
+                marks[lo + at + window] -= 1
+    return int((np.cumsum(exact) > 0).sum()), int((np.cumsum(loose) > 0).sum())
 
 
 class Index:
@@ -92,40 +76,41 @@ class Index:
         self.bitmap = np.zeros(1 << _BITS, bool)
         self.bitmap[(self.keys >> np.uint64(64 - _BITS)).astype(np.int64)] = True
 
-    def diagonals(self, codes: np.ndarray) -> dict[int, set[int]]:
-        """For each item with a hit: place in the document less place in the item."""
-        out: dict[int, set[int]] = defaultdict(set)
+    def diagonals(self, codes: np.ndarray) -> dict[int, list[int]]:
+        """For each item with a hit: places in the document less places in the item."""
+        items, gaps = [], []
         for m in range(len(MASKS)):
             h = seed_hashes(codes, m, STEP)
             at = np.flatnonzero(self.bitmap[(h >> np.uint64(64 - _BITS)).astype(np.int64)])
             if not len(at):
                 continue
-            lo, hi = np.searchsorted(self.keys, h[at], "left"), np.searchsorted(self.keys, h[at], "right")
-            for p, x, y in zip((at * STEP).tolist(), lo.tolist(), hi.tolist()):
-                for j in range(x, y):
-                    out[int(self.owner[j])].add(p - int(self.place[j]))
+            h = h[at]
+            lo = np.searchsorted(self.keys, h, "left")
+            n = np.searchsorted(self.keys, h, "right") - lo
+            total = int(n.sum())
+            if total:
+                j = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(total)
+                items.append(self.owner[j])
+                gaps.append(np.repeat(at * STEP, n) - self.place[j])
+        out: dict[int, list[int]] = defaultdict(list)
+        if items:
+            for k, d in set(zip(np.concatenate(items).tolist(), np.concatenate(gaps).tolist())):
+                out[k].append(d)
         return out
 
 
 COLUMNS = "doc_id long, item_id long, item_chars long, exact_chars long, tolerant_chars long"
 
 
-def _verify(doc_id, doc: str, codes: np.ndarray, item_id: int, item: str, item_codes: np.ndarray, diagonals) -> tuple:
-    exact = coverage(item, doc)
-    loose = max(exact, tolerant_coverage(item_codes, codes, sorted(diagonals)))
-    return doc_id, item_id, len(item), exact, loose
-
-
 def _scan(shared):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index = Index(shared.value)
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                doc = norm(text)
-                codes = code_points(doc).astype(np.uint64)
+                codes = code_points(norm(text)).astype(np.uint64)
                 for k, d in index.diagonals(codes).items():
-                    rows.append(_verify(doc_id, doc, codes, k, index.items[k], index.codes[k], d))
+                    rows.append((doc_id, k, len(index.codes[k]), *covered(index.codes[k], codes, d)))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in COLUMNS.split(", ")])
 
     return run
@@ -151,10 +136,9 @@ def _pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for doc_id, item_id, text, item in zip(batch["doc_id"], batch["item_id"], batch["text"], batch["item"]):
             index = Index([(item_id, norm(item))])
-            doc = norm(text)
-            codes = code_points(doc).astype(np.uint64)
+            codes = code_points(norm(text)).astype(np.uint64)
             for k, d in index.diagonals(codes).items():
-                rows.append(_verify(doc_id, doc, codes, k, index.items[k], index.codes[k], d))
+                rows.append((doc_id, k, len(index.codes[k]), *covered(index.codes[k], codes, d)))
         yield pd.DataFrame(rows, columns=[c.split()[0] for c in COLUMNS.split(", ")])
 
 
