@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 WORD_CLASS = "[^\\p{L}\\p{N}_]"
 ASCII_ONLY = r"^[\x00-\x7F]*$"
@@ -107,7 +108,7 @@ def _nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield batch.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
 
-nfkc = pandas_udf(_nfkc, "string")
+nfkc = pandas_udf(_nfkc, StringType())
 
 
 def clean(text: str | None) -> str:
@@ -116,7 +117,7 @@ def clean(text: str | None) -> str:
     return re.sub(r"\n{3,}", "\n\n", text).strip()
 
 
-clean_text = pandas_udf(lambda s: s.map(clean), "string")
+clean_text = pandas_udf(lambda s: s.map(clean), StringType())
 
 
 def fold_value(value: str | None) -> str:
@@ -124,14 +125,14 @@ def fold_value(value: str | None) -> str:
     return " ".join(unicodedata.normalize("NFKC", value or "").split()).casefold()
 
 
-casefold_key = pandas_udf(lambda s: s.map(fold_value), "string")
+casefold_key = pandas_udf(lambda s: s.map(fold_value), StringType())
 
 
 def norm(text: str | None) -> str:
     return _NOT_WORD.sub("", unicodedata.normalize("NFKC", text or "").lower())
 
 
-norm_text = pandas_udf(lambda s: s.map(norm), "string")
+norm_text = pandas_udf(lambda s: s.map(norm), StringType())
 
 
 def _seq_ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -140,7 +141,7 @@ def _seq_ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Se
 
 
 #: Order matters: the ratio of (a, b) may differ from that of (b, a).
-seq_ratio = pandas_udf(_seq_ratio, "double")
+seq_ratio = pandas_udf(_seq_ratio, DoubleType())
 
 
 def _score(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -162,7 +163,7 @@ def _score(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]])
         yield pd.Series(out, dtype="float64")
 
 
-score_above = pandas_udf(_score, "double")
+score_above = pandas_udf(_score, DoubleType())
 
 
 def _grams(form: str) -> set[str]:
@@ -179,7 +180,7 @@ def similarity(a: str, b: str) -> float:
     return 0.62 * difflib.SequenceMatcher(None, a, b, autojunk=False).ratio() + 0.38 * len(x & y) / len(x | y)
 
 
-sim_score = pandas_udf(lambda a, b: pd.Series([similarity(x or "", y or "") for x, y in zip(a, b)], dtype="float64"), "double")
+sim_score = pandas_udf(lambda a, b: pd.Series([similarity(x or "", y or "") for x, y in zip(a, b)], dtype="float64"), DoubleType())
 
 
 def highlight(left: str, right: str, least: int = 4) -> tuple[str, str]:
@@ -196,13 +197,13 @@ def _highlight(left: pd.Series, right: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([highlight(a or "", b or "") for a, b in zip(left, right)], columns=["l", "r"])
 
 
-highlight_common = pandas_udf(_highlight, "l string, r string")
+highlight_common = pandas_udf(_highlight, StructType([StructField("l", StringType()), StructField("r", StringType())]))
 
 
 def register(spark: SparkSession) -> None:
     """Make the Python functions callable from SQL."""
     for name, f in {"nfkc": nfkc, "clean_text": clean_text, "casefold_key": casefold_key, "norm_text": norm_text, "seq_ratio": seq_ratio, "sim_score": sim_score, "highlight_common": highlight_common}.items():
         spark.udf.register(name, f)
-    from textloom.operators.keywords import Finditer
+    from textloom.operators.keywords import finditer_function
 
-    spark.udtf.register("finditer", Finditer)
+    spark.udtf.register("finditer", finditer_function())

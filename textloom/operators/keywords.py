@@ -56,7 +56,6 @@ def context(text: str, start: int, end: int, window: int = WINDOW) -> str:
     return ("..." if a else "") + text[a:b].replace("\n", " ") + ("..." if b < len(text) else "")
 
 
-@udtf(returnType="hit_no int, start_at int, end_at int, matched_text string")
 class Finditer:
     """`lateral finditer(text, pattern)`: every match, with Python's dialect and code point offsets."""
 
@@ -66,6 +65,10 @@ class Finditer:
                 yield k, m.start(), m.end(), m[0]
 
 
+def finditer_function():
+    return udtf(Finditer, returnType="hit_no int, start_at int, end_at int, matched_text string")
+
+
 def full_text(blocks: Column | str = "blocks") -> Column:
     """Raw blocks joined by newlines; null blocks are left out."""
     return F.array_join(blocks, "\n")

@@ -29,12 +29,12 @@ def gram_frequency(units: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def candidates(units: DataFrame, keys: list[str], max_postings: int = 300, top: int = 200) -> DataFrame:
-    """(keys, pos_a, pos_b, shared): pairs pos_a < pos_b inside `keys` that share n-grams or the whole form.
+    """(pos_a, pos_b, shared): pairs pos_a < pos_b inside `keys` that share n-grams or the whole form.
 
-    units: keys, pos, normalized, ngrams (distinct). Grams with more than max_postings units are left out (0: none
-    is), which also bounds the pairs of a gram; units with one form count max(grams, 1) on top. Of each pos_a the
-    `top` pairs by shared, then pos_b are kept (0: all) - before any other filter, so pairs inside a group use up
-    places, as documented.
+    units: keys, pos (unique in the table), normalized, ngrams (distinct). Grams with more than max_postings units are
+    left out (0: none is), which also bounds the pairs of a gram; units with one form count max(grams, 1) on top. Of
+    each pos_a the `top` pairs by shared, then pos_b are kept (0: all) - before any other filter, so pairs inside a
+    group use up places, as documented.
     """
     postings = units.select(*keys, "pos", F.explode("ngrams").alias("gram"))
     if max_postings:
@@ -42,20 +42,33 @@ def candidates(units: DataFrame, keys: list[str], max_postings: int = 300, top:
         postings = postings.join(held.drop("df"), [*keys, "gram"], "left_semi")
     a = postings.select(*keys, "gram", F.col("pos").alias("pos_a"))
     b = postings.select(*keys, "gram", F.col("pos").alias("pos_b"))
-    by_gram = a.join(b, [*keys, "gram"]).filter("pos_a < pos_b").select(*keys, "pos_a", "pos_b", F.lit(1).cast("long").alias("s"))
-    shared = by_gram.unionAll(exact_pairs(units, keys)).groupBy(*keys, "pos_a", "pos_b").agg(F.sum("s").alias("shared"))
+    by_gram = a.join(b, [*keys, "gram"]).filter("pos_a < pos_b").select("pos_a", "pos_b", F.lit(1).cast("long").alias("s"))
+    shared = by_gram.unionAll(exact_pairs(units, keys, top)).groupBy("pos_a", "pos_b").agg(F.sum("s").alias("shared"))
     if not top:
         return shared
-    rank = F.row_number().over(Window.partitionBy(*keys, "pos_a").orderBy(F.desc("shared"), "pos_b"))
+    rank = F.row_number().over(Window.partitionBy("pos_a").orderBy(F.desc("shared"), "pos_b"))
     return shared.withColumn("_r", rank).filter(F.col("_r") <= top).drop("_r")
 
 
-def exact_pairs(units: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, pos_a, pos_b, s): pairs with one comparison form; s is its number of n-grams, 1 at least."""
-    forms = units.filter("normalized <> ''").select(*keys, "pos", F.xxhash64("normalized").alias("h"), "normalized", F.greatest(F.size("ngrams"), F.lit(1)).cast("long").alias("s"))
-    a = forms.select(*keys, "h", "normalized", F.col("pos").alias("pos_a"), "s")
-    b = forms.select(*keys, "h", "normalized", F.col("pos").alias("pos_b"))
-    return a.join(b, [*keys, "h", "normalized"]).filter("pos_a < pos_b").select(*keys, "pos_a", "pos_b", "s")
+def exact_pairs(units: DataFrame, keys: list[str], top: int = 0) -> DataFrame:
+    """(pos_a, pos_b, s): pairs with one comparison form; s is its number of n-grams, 1 at least.
+
+    Twins share more than any other pair can, so with `top` only the next `top` twins of a unit can be kept, and only
+    those are made: twins are numbered and each meets its own block of `top` and the next, so a form that a third of
+    all units have costs no more a unit than any other.
+    """
+    forms = units.filter("normalized <> ''").select(*keys, "pos", "normalized", F.greatest(F.size("ngrams"), F.lit(1)).cast("long").alias("s"))
+    by = [*keys, "normalized"]
+    if not top:
+        a = forms.withColumnRenamed("pos", "pos_a")
+        b = forms.drop("s").withColumnRenamed("pos", "pos_b")
+        return a.join(b, by).filter("pos_a < pos_b").select("pos_a", "pos_b", "s")
+    several = forms.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    numbered = forms.join(several, by, "left_semi").withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("pos")))
+    block = F.floor(F.col("r") / top)
+    a = numbered.select(*by, F.col("pos").alias("pos_a"), "s", F.col("r").alias("ra"), F.explode(F.array(block, block + 1)).alias("block"))
+    b = numbered.select(*by, F.col("pos").alias("pos_b"), F.col("r").alias("rb"), block.alias("block"))
+    return a.join(b, [*by, "block"]).filter((F.col("rb") > F.col("ra")) & (F.col("rb") <= F.col("ra") + top)).select("pos_a", "pos_b", "s")
 
 
 def recall_filter(n_a: str, n_b: str, len_a: str, len_b: str, shared: str = "shared"):

@@ -15,7 +15,7 @@ _SIDE = ["unit_id", "group_index", "group_name", "file_path", "file_name", "loca
 
 def _side(units: DataFrame, keys: list[str], tag: str) -> DataFrame:
     extra = [c for c in ("threshold", "exclude_threshold") if c in units.columns and tag == "a"]
-    return units.select(*keys, *(F.col(c).alias(f"{c}_{tag}") for c in _SIDE), F.col("pos").alias(f"pos_{tag}"), *extra)
+    return units.select(*(keys if tag == "a" else []), *(F.col(c).alias(f"{c}_{tag}") for c in _SIDE), F.col("pos").alias(f"pos_{tag}"), *extra)
 
 
 def jaccard(a: str, b: str):
@@ -46,14 +46,14 @@ def text_matches(units: DataFrame, keys: list[str], threshold: float = 0.78, max
     """
     able = units.filter("comparable and normalized <> ''")
     near = candidates(able, keys, max_postings, top)
-    found = near.join(_side(able, keys, "a"), [*keys, "pos_a"]).join(_side(able, keys, "b"), [*keys, "pos_b"]).filter("group_index_a <> group_index_b")
+    found = near.join(_side(able, keys, "a"), "pos_a").join(_side(able, keys, "b"), "pos_b").filter("group_index_a <> group_index_b")
     found = found.withColumn("_na", F.size("ngrams_a")).withColumn("_nb", F.size("ngrams_b")).withColumn("_la", F.length("normalized_a")).withColumn("_lb", F.length("normalized_b"))
     found = found.filter(recall_filter("_na", "_nb", "_la", "_lb")).drop("_na", "_nb", "_la", "_lb")
     return score_pairs(found, F.col("threshold") if "threshold" in units.columns else threshold)
 
 
 def best_excludes(units: DataFrame, excludes: DataFrame, keys: list[str], threshold: float = 0.86, max_postings: int = 300, limit: int = EXCLUDE_LIMIT) -> DataFrame:
-    """(keys, pos, exclude_pos, exclude_file, exclude_score): for each unit the exclude unit it matches best.
+    """(pos, exclude_pos, exclude_file, exclude_score): for each unit the exclude unit it matches best.
 
     Units are distinct ones of accepted matches; excludes are those of template files. A twin scores 1 and the first in
     order wins. Otherwise the `limit` candidates that share most n-grams (then by pos) pass the length ratio and are
@@ -61,38 +61,38 @@ def best_excludes(units: DataFrame, excludes: DataFrame, keys: list[str], thresh
     """
     able = excludes.filter("comparable and normalized <> ''")
     twin = able.groupBy(*keys, "normalized").agg(F.min_by(F.struct("pos", "file_name"), "pos").alias("e"))
-    exact = units.join(twin, [*keys, "normalized"]).select(*keys, "pos", F.col("e.pos").alias("exclude_pos"), F.col("e.file_name").alias("exclude_file"), F.lit(1.0).alias("exclude_score"))
-    rest = units.join(exact.select(*keys, "pos"), [*keys, "pos"], "left_anti")
+    exact = units.join(twin, [*keys, "normalized"]).select("pos", F.col("e.pos").alias("exclude_pos"), F.col("e.file_name").alias("exclude_file"), F.lit(1.0).alias("exclude_score"))
+    rest = units.join(able.select(*keys, "normalized").distinct(), [*keys, "normalized"], "left_anti")
     postings = able.select(*keys, F.col("pos").alias("exclude_pos"), F.explode("ngrams").alias("gram"))
     if max_postings:
         held = postings.groupBy(*keys, "gram").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") <= max_postings).drop("df")
         postings = postings.join(held, [*keys, "gram"], "left_semi")
-    near = rest.select(*keys, "pos", F.explode("ngrams").alias("gram")).join(postings, [*keys, "gram"]).groupBy(*keys, "pos", "exclude_pos").agg(F.count(F.lit(1)).alias("shared"))
-    near = near.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "pos").orderBy(F.desc("shared"), "exclude_pos"))).filter(F.col("_r") <= limit)
-    left = rest.select(*keys, "pos", F.col("normalized").alias("normalized_a"), F.col("ngrams").alias("ngrams_a"), *([F.col("exclude_threshold").alias("_t")] if "exclude_threshold" in units.columns else [F.lit(threshold).alias("_t")]))
-    right = able.select(*keys, F.col("pos").alias("exclude_pos"), F.col("normalized").alias("normalized_b"), F.col("ngrams").alias("ngrams_b"), F.col("file_name").alias("exclude_file"))
+    near = rest.select(*keys, "pos", F.explode("ngrams").alias("gram")).join(postings, [*keys, "gram"]).groupBy("pos", "exclude_pos").agg(F.count(F.lit(1)).alias("shared"))
+    near = near.withColumn("_r", F.row_number().over(Window.partitionBy("pos").orderBy(F.desc("shared"), "exclude_pos"))).filter(F.col("_r") <= limit)
+    left = rest.select("pos", F.col("normalized").alias("normalized_a"), F.col("ngrams").alias("ngrams_a"), *([F.col("exclude_threshold").alias("_t")] if "exclude_threshold" in units.columns else [F.lit(threshold).alias("_t")]))
+    right = able.select(F.col("pos").alias("exclude_pos"), F.col("normalized").alias("normalized_b"), F.col("ngrams").alias("ngrams_b"), F.col("file_name").alias("exclude_file"))
     la, lb = F.length("normalized_a"), F.length("normalized_b")
-    pairs = near.join(left, [*keys, "pos"]).join(right, [*keys, "exclude_pos"]).filter(F.least(la, lb) / F.greatest(la, lb) >= LENGTH_FLOOR)
+    pairs = near.join(left, "pos").join(right, "exclude_pos").filter(F.least(la, lb) / F.greatest(la, lb) >= LENGTH_FLOOR)
     scored = score_pairs(pairs, F.col("_t"))
-    best = scored.groupBy(*keys, "pos").agg(F.max_by(F.struct("exclude_pos", "exclude_file", F.col("similarity").alias("exclude_score")), F.struct("similarity", -F.col("_r"))).alias("e"))
-    return exact.unionByName(best.select(*keys, "pos", "e.*"))
+    best = scored.groupBy("pos").agg(F.max_by(F.struct("exclude_pos", "exclude_file", F.col("similarity").alias("exclude_score")), F.struct("similarity", -F.col("_r"))).alias("e"))
+    return exact.unionByName(best.select("pos", "e.*"))
 
 
-def flag_excluded(matches: DataFrame, best: DataFrame, keys: list[str]) -> DataFrame:
+def flag_excluded(matches: DataFrame, best: DataFrame) -> DataFrame:
     """Adds excluded and exclude_reason: a match is excluded if both of its sides match a template."""
     for tag in ("a", "b"):
-        side = best.select(*keys, F.col("pos").alias(f"pos_{tag}"), F.col("exclude_file").alias(f"_f{tag}"), F.col("exclude_score").alias(f"_s{tag}"))
-        matches = matches.join(side, [*keys, f"pos_{tag}"], "left")
+        side = best.select(F.col("pos").alias(f"pos_{tag}"), F.col("exclude_file").alias(f"_f{tag}"), F.col("exclude_score").alias(f"_s{tag}"))
+        matches = matches.join(side, f"pos_{tag}", "left")
     both = F.col("_sa").isNotNull() & F.col("_sb").isNotNull()
     reason = F.format_string("两侧均匹配排除文件：%s (%.2f) / %s (%.2f)", "_fa", "_sa", "_fb", "_sb")
     return matches.withColumn("excluded", both).withColumn("exclude_reason", F.when(both, reason)).drop("_fa", "_fb", "_sa", "_sb")
 
 
 def with_exclusion(matches: DataFrame, units: DataFrame, excludes: DataFrame, keys: list[str], threshold: float = 0.86, max_postings: int = 300) -> DataFrame:
-    """The lookups run once for each unit of an accepted match, not for each match."""
-    ends = matches.select(*keys, F.explode(F.array("pos_a", "pos_b")).alias("pos")).distinct()
-    needed = units.join(ends, [*keys, "pos"], "left_semi")
-    return flag_excluded(matches, best_excludes(needed, excludes, keys, threshold, max_postings), keys)
+    """The lookups run once for each unit of an accepted match, not for each match. Callers persist both inputs."""
+    ends = matches.select(F.explode(F.array("pos_a", "pos_b")).alias("pos")).distinct()
+    needed = units.join(ends, "pos", "left_semi")
+    return flag_excluded(matches, best_excludes(needed, excludes, keys, threshold, max_postings))
 
 
 def number_matches(matches: DataFrame) -> DataFrame:

@@ -91,7 +91,7 @@ def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = _stored(spark, sf_dir)
     pairs = ng.candidates(u, CASE)
     for s in "ab":
-        pairs = pairs.join(u.select(*CASE, F.col("pos").alias(f"pos_{s}"), F.col("group_index").alias(f"g{s}"), F.col("ngrams").alias(f"ngrams_{s}"), F.size("ngrams").alias(f"n{s}"), F.length("normalized").alias(f"l{s}")), [*CASE, f"pos_{s}"])
+        pairs = pairs.join(u.select(*(CASE if s == "a" else []), F.col("pos").alias(f"pos_{s}"), F.col("group_index").alias(f"g{s}"), F.col("ngrams").alias(f"ngrams_{s}"), F.size("ngrams").alias(f"n{s}"), F.length("normalized").alias(f"l{s}")), f"pos_{s}")
     pairs = pairs.filter("ga <> gb").filter(ng.recall_filter("na", "nb", "la", "lb"))
     return pairs.withColumn("jaccard", similarity.jaccard("ngrams_a", "ngrams_b")).filter("jaccard >= 0.5").select(*CASE, "pos_a", "pos_b", "shared", "jaccard")
 
@@ -100,9 +100,9 @@ def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _matched(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    u = t.comparable_units(spark, sf_dir)
+    u = t.comparable_units(spark, sf_dir).persist()
     own, excludes = u.filter("group_index >= 0"), u.filter("group_index < 0")
-    return own, excludes, similarity.text_matches(own, CASE)
+    return own, excludes, similarity.text_matches(own, CASE).persist()
 
 
 def similarity_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,29 +169,49 @@ def stored_keyword_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- metadata and images
 
 
+def _metadata(spark: SparkSession, sf_dir: str, keys: list[str]) -> DataFrame:
+    a = meta.metadata_alerts(t.files(spark, sf_dir).filter("group_index >= 0"), keys)
+    return a.select(*keys, "field", "level", "key", F.array_join("groups", "|").alias("group_names"), F.size("hits").cast("long").alias("n_hits"))
+
+
 def metadata_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = meta.metadata_alerts(t.files(spark, sf_dir).filter("group_index >= 0"), CASE)
-    return a.select(*CASE, "field", "level", "key", F.array_join("groups", "|").alias("group_names"), F.size("hits").cast("long").alias("n_hits"))
+    return _metadata(spark, sf_dir, CASE)
+
+
+def metadata_alerts_across_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _metadata(spark, sf_dir, [])
+
+
+def _image_groups(spark: SparkSession, sf_dir: str, keys: list[str]) -> DataFrame:
+    d = img.exact_duplicates(t.images(spark, sf_dir), keys)
+    return d.select(*keys, "sha256", F.array_join("groups", "|").alias("group_names"), F.size("images").cast("long").alias("n_images"))
 
 
 def image_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = img.exact_duplicates(t.images(spark, sf_dir), CASE)
-    return d.select(*CASE, "sha256", F.array_join("groups", "|").alias("group_names"), F.size("images").cast("long").alias("n_images"))
+    return _image_groups(spark, sf_dir, CASE)
+
+
+def image_exact_across_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _image_groups(spark, sf_dir, [])
 
 
 def image_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return img.near_duplicates(t.images(spark, sf_dir), CASE, 6).select(*CASE, "a", "b", long("distance"))
 
 
+def image_near_across_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return img.near_duplicates(t.images(spark, sf_dir), [], 12).select("a", "b", long("distance"))
+
+
 def image_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = img.image_duplicates(t.images(spark, sf_dir), CASE, 6)
-    return d.select(*CASE, "kind", long("distance"), F.to_json("images").alias("images"))
+    d = img.image_duplicates(t.images(spark, sf_dir), [], 6)
+    return d.select("kind", long("distance"), F.to_json("images").alias("images"))
 
 
 def hamming_near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors whose 64 sign bits differ in 8 places or fewer, by the banded join."""
     e = t.table(spark, sf_dir, "embeddings").filter("embedding is not null")
-    bits = F.aggregate(F.transform(F.slice("embedding", 1, 64), lambda x, i: F.when(x > 0, F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+    bits = F.expr("aggregate(transform(slice(embedding, 1, 64), (x, i) -> if(x > 0, shiftleft(1L, i), 0L)), 0L, (a, b) -> a | b)")
     near = img.near_hashes(e.select(F.col("vec_id").alias("ord"), bits.alias("bits")), [], 8)
     return near.select("a", "b", long("distance"))
 
@@ -200,7 +220,8 @@ def hamming_near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pair_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = summary.pair_stats(t.matches(spark, sf_dir), CASE)
+    """The average is left out: sums of doubles depend on their order."""
+    p = summary.pair_stats(t.matches(spark, sf_dir), CASE).drop("avg_similarity")
     return p.withColumn("files", F.array_join("files", "|"))
 
 

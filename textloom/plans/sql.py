@@ -2,6 +2,155 @@
 
 from __future__ import annotations
 
+_FILES = "files as (select * from (select *, row_number() over (partition by doc_id order by loaded_at desc, file_path desc) as rn from bid_files) x where rn = 1)"
+_UNITS = """units as (select * from (select *, row_number() over (partition by unit_id, pos order by (coalesce(text, '') <> '') desc, loaded_at desc, coalesce(text, '') desc) as rn
+  from text_units) x where rn = 1)"""
+_MATCHES = """matches as (select * exclude (similarity, rn), case when similarity > 1 then similarity / 100 else similarity end as similarity from (
+  select *, row_number() over (partition by match_id order by loaded_at desc, coalesce(unit_id_a, '') desc, coalesce(unit_id_b, '') desc) as rn from similarity_matches) x where rn = 1)"""
+_IMAGES = f"""{_FILES},
+once as (select * from (select *, row_number() over (partition by doc_id, image_id order by group_name) as rn from doc_images) x where rn = 1),
+images as (select once.*, files.case_id, lpad(cast(once.doc_id as varchar), 19, '0') || '/' || image_id as ord from once join files using (doc_id))"""
+_STORED = """stored as (select case_id, pos, unit_id, min(normalized) as form, min(group_index) as group_index from text_units
+  where normalized <> '' and group_index >= 0 and comparable group by case_id, pos, unit_id),
+grams as (select case_id, pos, unnest(list_distinct(case when length(form) <= 3 then [form] else list_transform(range(1, length(form) - 1), lambda i: substring(form, i, 3)) end)) as gram from stored)"""
+_SHARED = f"""{_STORED},
+df as (select case_id, gram from grams group by case_id, gram having count(*) between 2 and 300),
+held as (select grams.* from grams join df using (case_id, gram)),
+sizes as (select case_id, pos, count(*) as n from grams group by case_id, pos),
+parts as (
+  select a.case_id, a.pos as pos_a, b.pos as pos_b, 1 as s from held a join held b on a.case_id = b.case_id and a.gram = b.gram and a.pos < b.pos
+  union all
+  select a.case_id, a.pos, b.pos, greatest(sizes.n, 1) from stored a join stored b on a.case_id = b.case_id and a.form = b.form and a.pos < b.pos
+  join sizes on sizes.case_id = a.case_id and sizes.pos = a.pos),
+shared as (select case_id, pos_a, pos_b, cast(sum(s) as bigint) as shared from parts group by case_id, pos_a, pos_b),
+top as (select case_id, pos_a, pos_b, shared from (select *, row_number() over (partition by case_id, pos_a order by shared desc, pos_b) as rn from shared) x where rn <= 200)"""
+_PAIRS = f"""{_MATCHES},
+flat as (select case_id, least(group_a, group_b) as group_a, greatest(group_a, group_b) as group_b, excluded, similarity, [regexp_extract(file_a, '[^/\\\\]*$'), regexp_extract(file_b, '[^/\\\\]*$')] as f from matches),
+pairs as (select case_id, group_a, group_b, count(*) filter (not excluded) as match_count, count(*) filter (excluded) as excluded_count,
+  coalesce(max(similarity) filter (not excluded), 0.0) as max_similarity, coalesce(avg(similarity) filter (not excluded), 0.0) as avg_similarity,
+  coalesce(array_to_string(list_sort(list_distinct(flatten(list(f) filter (not excluded)))), '|'), '') as files
+  from flat group by case_id, group_a, group_b)"""
+_TEXTS = f"{_FILES}, texts as (select case_id, doc_id, group_name, array_to_string(blocks, chr(10)) as text from files where group_index >= 0)"
+_WORDS = "words(keyword) as (values ('光模块'), ('热力管'), ('Beacon'), ('guardrail'))"
+_META = f"""{_FILES},
+raw as (select case_id, group_name, field, level, kind, trim(coalesce(metadata[field], '')) as raw from files,
+  (values ('author', '高', 'v'), ('company', '高', 'v'), ('last_modified_by', '中', 'v'), ('created', '中', 't'), ('modified', '中', 't')) s(field, level, kind) where group_index >= 0),
+keyed as (select *, case when kind = 'v' then lower(regexp_replace(raw, '\\s+', ' ', 'g'))
+  when raw like 'D:%' and length(regexp_replace(substring(raw, 3), '[^0-9]', '', 'g')) >= 12 then regexp_replace(regexp_replace(substring(raw, 3), '[^0-9]', '', 'g'), '^(\\d{{4}})(\\d\\d)(\\d\\d)(\\d\\d)(\\d\\d).*$', '\\1-\\2-\\3 \\4:\\5')
+  when regexp_matches(raw, '^\\d{{4}}-\\d\\d-\\d\\d[T ]\\d\\d:\\d\\d') then substring(raw, 1, 10) || ' ' || substring(raw, 12, 5)
+  when regexp_matches(raw, '^\\d{{4}}-\\d\\d-\\d\\d$') then raw || ' 00:00' else '' end as key from raw where raw <> '')"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "document_pieces": """
+with lists as (select doc_id, list_filter(list_transform(regexp_extract_all(text, '([^。！？!?；;\\r\\n]*[！？。!?；;]|[^。！？!?；;\\r\\n]+)', 1),
+  lambda p: regexp_replace(p, '^[ \\t\\x{00a0}\\x{3000}]+|[ \\t\\x{00a0}\\x{3000}]+$', '', 'g')), lambda p: p <> '') as l from documents)
+select doc_id, cast(i as bigint) as piece_no, l[i + 1] as piece from (select doc_id, l, unnest(range(0, len(l))) as i from lists) x""",
+        "unit_features": """
+select unit_id, pos, strftime(loaded_at at time zone 'UTC', '%Y-%m-%d %H:%M:%S') as loaded, regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{N}_]', '', 'g') as form,
+  cast(length(regexp_replace(coalesce(text, ''), '[^\\p{L}\\p{N}_]', '', 'g')) as bigint) as chars,
+  cast(len(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9_]+')) as bigint) as words,
+  regexp_matches(coalesce(text, ''), '[\\x{3400}-\\x{9fff}]') as han,
+  case when regexp_matches(coalesce(text, ''), '[\\x{3400}-\\x{9fff}]') then length(regexp_replace(coalesce(text, ''), '[^\\p{L}\\p{N}_]', '', 'g')) >= 10
+    else len(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9_]+')) >= 8 end as able
+from (select distinct unit_id, pos, loaded_at, text from text_units) u""",
+        "unit_ids": """
+select file_path, location, pos, substring(sha1(concat_ws('|', group_name, file_path, location, cast(pos as varchar), substring(normalized, 1, 80))), 1, 16) as made_id
+from (select distinct group_name, file_path, location, pos, normalized from text_units where normalized is not null) u""",
+        "shortened_texts": """
+with flat as (select doc_id, trim(regexp_replace(coalesce(text, ''), '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g')) as t from documents)
+select doc_id, case when length(t) <= 160 then t else left(t, 72) || ' ... ' || right(t, 83) end as short from flat""",
+        "exact_duplicate_units": """
+select case_id, normalized, count(distinct group_name) as n_groups, count(distinct (unit_id, pos)) as n_units
+from text_units where comparable and normalized <> '' and group_index >= 0 group by case_id, normalized having count(distinct group_name) >= 2""",
+        "ngram_document_frequency": f"with {_STORED} select gram, count(*) as df from grams group by gram",
+        "stop_grams": f"with {_STORED} select gram, count(*) as df from grams group by gram having count(*) > 300",
+        "ngram_candidates_topk": f"with {_SHARED} select pos_a, pos_b, shared from top",
+        "jaccard_pairs": f"""
+with {_SHARED},
+overlap as (select a.case_id, a.pos as pos_a, b.pos as pos_b, count(*) as both_n from grams a join grams b on a.case_id = b.case_id and a.gram = b.gram and a.pos < b.pos group by 1, 2, 3),
+full_ as (select top.*, o.both_n, ua.group_index as ga, ub.group_index as gb, length(ua.form) as la, length(ub.form) as lb, na.n as na, nb.n as nb from top
+  join overlap o using (case_id, pos_a, pos_b)
+  join stored ua on ua.case_id = top.case_id and ua.pos = top.pos_a join stored ub on ub.case_id = top.case_id and ub.pos = top.pos_b
+  join sizes na on na.case_id = top.case_id and na.pos = top.pos_a join sizes nb on nb.case_id = top.case_id and nb.pos = top.pos_b)
+select case_id, pos_a, pos_b, shared, both_n / (na + nb - both_n) as jaccard from full_
+where ga <> gb and least(la, lb) / greatest(la, lb) >= 0.55 and shared >= greatest(2, floor(least(na, nb) * 0.12)) and both_n / (na + nb - both_n) >= 0.5""",
+        "exclude_exact": """
+with e as (select case_id, normalized, min(pos) as exclude_pos from text_units where normalized <> '' and comparable and group_index < 0 group by case_id, normalized)
+select distinct u.case_id, u.pos, u.unit_id, e.exclude_pos from text_units u join e on u.case_id = e.case_id and u.normalized = e.normalized where u.comparable and u.group_index >= 0""",
+        "keyword_alerts": f"""
+with {_TEXTS}, {_WORDS},
+hits as (select case_id, group_name, keyword, (length(lower(text)) - length(replace(lower(text), lower(keyword), ''))) // length(keyword) as n from texts, words)
+select case_id, keyword, array_to_string(list_sort(list_distinct(list(group_name))), '|') as group_names, cast(sum(n) as bigint) as n_hits from hits where n > 0
+group by case_id, keyword having count(distinct group_name) >= 2""",
+        "regex_shared_values": f"""
+with {_TEXTS}, hits as (select case_id, group_name, unnest(regexp_extract_all(text, '(?i)[A-Z]{{2}}-[0-9]{{4}}')) as canonical from texts)
+select case_id, canonical, array_to_string(list_sort(list_distinct(list(group_name))), '|') as group_names, count(*) as n_hits from hits
+group by case_id, canonical having count(distinct group_name) >= 2""",
+        "stored_keyword_alerts": """
+select case_id, keyword, is_regex, case when is_regex then matched_text else lower(keyword) end as canonical, count(distinct group_name) as n_groups, count(*) as n_hits
+from keyword_hits where group_name is not null group by all having count(distinct group_name) >= 2""",
+        "metadata_alerts": f"""
+with {_META} select case_id, field, level, key, array_to_string(list_sort(list_distinct(list(group_name))), '|') as group_names, count(*) as n_hits from keyed
+where key <> '' and not (kind = 'v' and key in ('admin', 'administrator', 'default', 'kingsoft office', 'microsoft corporation', 'microsoft office user', 'n/a', 'none', 'python-docx', 'unknown', 'user', 'wps office'))
+  and not (kind = 't' and key = '2013-12-23 23:15') group by case_id, field, level, key having count(distinct group_name) >= 2""",
+        "metadata_alerts_across_runs": f"""
+with {_META} select field, level, key, array_to_string(list_sort(list_distinct(list(group_name))), '|') as group_names, count(*) as n_hits from keyed
+where key <> '' and not (kind = 'v' and key in ('admin', 'administrator', 'default', 'kingsoft office', 'microsoft corporation', 'microsoft office user', 'n/a', 'none', 'python-docx', 'unknown', 'user', 'wps office'))
+  and not (kind = 't' and key = '2013-12-23 23:15') group by field, level, key having count(distinct group_name) >= 2""",
+        "image_exact_duplicates": f"""
+with {_IMAGES} select case_id, sha256, array_to_string(list_sort(list_distinct(list(group_name))), '|') as group_names, count(*) as n_images from images
+where sha256 is not null group by case_id, sha256 having count(distinct group_name) >= 2""",
+        "image_exact_across_runs": f"""
+with {_IMAGES} select sha256, array_to_string(list_sort(list_distinct(list(group_name))), '|') as group_names, count(*) as n_images from images
+where sha256 is not null group by sha256 having count(distinct group_name) >= 2""",
+        "image_near_duplicates": f"""
+with {_IMAGES},
+shared as (select case_id, sha256 from images where sha256 is not null group by case_id, sha256 having count(distinct group_name) >= 2),
+known as (select distinct a.case_id, least(a.image_id, b.image_id) as lo, greatest(a.image_id, b.image_id) as hi from images a join images b on a.case_id = b.case_id and a.sha256 = b.sha256 and a.ord <> b.ord
+  join shared s on s.case_id = a.case_id and s.sha256 = a.sha256),
+near as (select a.case_id, a.ord as a, b.ord as b, least(a.image_id, b.image_id) as lo, greatest(a.image_id, b.image_id) as hi,
+  bit_count(xor(cast('0x' || a.ahash as ubigint), cast('0x' || b.ahash as ubigint))) as distance
+  from images a join images b on a.case_id = b.case_id and a.ord < b.ord and a.group_name <> b.group_name where a.ahash is not null and b.ahash is not null)
+select case_id, a, b, cast(distance as bigint) as distance from near anti join known using (case_id, lo, hi) where distance <= 6""",
+        "image_near_across_runs": f"""
+with {_IMAGES},
+shared as (select sha256 from images where sha256 is not null group by sha256 having count(distinct group_name) >= 2),
+known as (select distinct least(a.image_id, b.image_id) as lo, greatest(a.image_id, b.image_id) as hi from images a join images b on a.sha256 = b.sha256 and a.ord <> b.ord
+  join shared s on s.sha256 = a.sha256),
+near as (select a.ord as a, b.ord as b, least(a.image_id, b.image_id) as lo, greatest(a.image_id, b.image_id) as hi,
+  bit_count(xor(cast('0x' || a.ahash as ubigint), cast('0x' || b.ahash as ubigint))) as distance
+  from images a join images b on a.ord < b.ord and a.group_name <> b.group_name where a.ahash is not null and b.ahash is not null)
+select a, b, cast(distance as bigint) as distance from near anti join known using (lo, hi) where distance <= 12""",
+        "hamming_near_pairs": """
+with bits as (select vec_id, list_transform(embedding[1:64], lambda x: x > 0) as s from embeddings where embedding is not null),
+b as (select vec_id, cast(array_to_string(list_transform(s, lambda x: case when x then '1' else '0' end), '') as bit) as v from bits)
+select x.vec_id as a, y.vec_id as b, cast(bit_count(xor(x.v, y.v)) as bigint) as distance from b x join b y on x.vec_id < y.vec_id where bit_count(xor(x.v, y.v)) <= 8""",
+        "pair_summary": f"with {_PAIRS} select * exclude (avg_similarity) from pairs",
+        "all_group_pairs": f"""
+with {_PAIRS}, {_FILES},
+g as (select distinct case_id, group_index, group_name from files where group_index >= 0)
+select a.case_id, a.group_name as group_a, b.group_name as group_b, coalesce(match_count, 0) as match_count, coalesce(excluded_count, 0) as excluded_count, coalesce(max_similarity, 0.0) as max_similarity
+from g a join g b on a.case_id = b.case_id and a.group_index < b.group_index
+left join pairs p on p.case_id = a.case_id and p.group_a = least(a.group_name, b.group_name) and p.group_b = greatest(a.group_name, b.group_name)""",
+        "document_summary": f"""
+with {_UNITS} select doc_id, count(*) as unit_count, count(*) filter (comparable) as comparable_unit_count, count(*) - count(*) filter (comparable) as short_filtered_unit_count from units group by doc_id""",
+        "run_stats": f"""
+with {_FILES}, {_UNITS}, {_MATCHES},
+d as (select case_id, count(*) filter (group_index >= 0) as document_count, count(*) filter (group_index < 0) as exclude_document_count, count(distinct group_index) filter (group_index >= 0) as group_count from files group by case_id),
+u as (select case_id, count(*) as unit_count, count(*) filter (comparable) as comparable_unit_count from units where group_index >= 0 group by case_id),
+m as (select case_id, count(*) filter (not excluded) as similar_match_count, count(*) filter (excluded) as excluded_match_count from matches group by case_id)
+select case_id, document_count, exclude_document_count, group_count, coalesce(unit_count, 0) as unit_count, coalesce(comparable_unit_count, 0) as comparable_unit_count,
+  coalesce(similar_match_count, 0) as similar_match_count, coalesce(excluded_match_count, 0) as excluded_match_count, coalesce(unit_count, 0) - coalesce(comparable_unit_count, 0) as short_filtered_unit_count
+from d left join u using (case_id) left join m using (case_id)""",
+        "sampled_matches": f"""
+with {_MATCHES},
+a as (select *, row_number() over (partition by case_id, least(group_a, group_b), greatest(group_a, group_b) order by similarity desc, match_id) as k from matches where not excluded and similarity is not null),
+b as (select *, row_number() over (partition by case_id order by similarity desc, match_id) as t from a where k <= 20)
+select case_id, match_id, similarity from b where t <= 160""",
+        "unit_annotations": f"""
+with {_MATCHES}, ok as (select * from matches where unit_id_a is not null and unit_id_b is not null),
+ends as (select case_id, unit_id_a as unit_id, similarity, excluded from ok union all select case_id, unit_id_b, similarity, excluded from ok)
+select case_id, unit_id, count(*) as n_refs, max(similarity) as max_similarity, bool_and(excluded) as all_excluded from ends group by case_id, unit_id""",
+    }
