@@ -88,7 +88,7 @@ def test_exclusion_needs_both_sides(spark):
 
 def test_number_units_is_dense_and_ordered(spark):
     df = spark.createDataFrame([(i % 7, f"段{i}.1", i) for i in range(500)], "group_index int, location string, unit_seq int")
-    rows = ngrams.number_units(df, ["group_index", "location", "unit_seq"]).collect()
+    rows = ngrams.number_units(df, ["group_index"], ["location", "unit_seq"]).collect()
     rows.sort(key=lambda r: r["pos"])
     assert [r["pos"] for r in rows] == list(range(1, 501))
     keys = [(r["group_index"], r["location"], r["unit_seq"]) for r in rows]

@@ -10,17 +10,16 @@ from pyspark.sql.window import Window
 SHARED_RATIO, LENGTH_FLOOR = 0.12, 0.55
 
 
-def number_units(units: DataFrame, order: list[str]) -> DataFrame:
-    """A dense BIGINT `pos` in the order given, without bringing all rows into one task.
+def number_units(units: DataFrame, outer: list[str], inner: list[str]) -> DataFrame:
+    """A dense BIGINT `pos` in the order of `outer`, then `inner`, without sorting all rows in one task.
 
-    Rows are range-partitioned on the order and counted by partition; a partition's rows are numbered from the sum of
-    those before it. The order must be total, or ties may number differently.
+    Rows are counted for each value of `outer` (a file); the running sum over those counts, one short row a file,
+    gives each file its start, and rows are numbered inside their file. Both orders together must be total.
     """
-    ranged = units.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_k", F.monotonically_increasing_id())
-    base = ranged.groupBy("_p").agg(F.min("_k").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    start = base.withColumn("_start", F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)))  # one row a partition
-    joined = ranged.join(start.select("_p", "_first", "_start"), "_p")
-    return joined.withColumn("pos", F.col("_k") - F.col("_first") + F.coalesce("_start", F.lit(0)) + 1).drop("_p", "_k", "_first", "_start")
+    counts = units.groupBy(*outer).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy(*outer).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = units.withColumn("_k", F.row_number().over(Window.partitionBy(*outer).orderBy(*inner)))
+    return rows.join(counts.select(*outer, before.alias("_start")), outer).withColumn("pos", F.col("_start") + F.col("_k")).drop("_k", "_start")
 
 
 def gram_frequency(units: DataFrame, keys: list[str]) -> DataFrame:

@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.config import Config, normalize_config
+from textloom.functions.session import checkpoint
 from textloom.operators import images, keywords, metadata, ngrams, segment, similarity, summary
 from textloom.sources import files, pdf
 
 Progress = Callable[[str], None]
-UNIT_ORDER = ["group_index", "file_path", "location", "doc_id", "unit_seq"]
+#: Reading order of a run; locations sort as text.
+FILE_ORDER, UNIT_ORDER = ["group_index", "file_path"], ["location", "doc_id", "unit_seq"]
 
 
 @dataclass
@@ -43,8 +45,7 @@ class _Stages:
     def run(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
         self.progress(name)
         began = time.perf_counter()
-        df = make().persist()
-        df.count()
+        df = checkpoint(make())
         self.seconds[name] = time.perf_counter() - began
         return df
 
@@ -54,12 +55,12 @@ def check_documents(documents: DataFrame, config: Config, progress: Progress | N
     o, stages, spark = config.options, _Stages(progress), documents.sparkSession
     began = time.perf_counter()
     documents = stages.run("parse_documents", lambda: documents)
-    units = stages.run("segment_units", lambda: ngrams.number_units(segment.build_units(documents, o), UNIT_ORDER))
+    units = stages.run("segment_units", lambda: ngrams.number_units(segment.build_units(documents, o), FILE_ORDER, UNIT_ORDER))
     own, excludes = units.filter("group_index >= 0"), units.filter("group_index < 0")
 
     def match() -> DataFrame:
         found = similarity.text_matches(own, [], o.similarity_threshold, o.max_ngram_postings, o.max_candidates_per_unit)
-        flagged = similarity.with_exclusion(found, own, excludes, [], o.exclude_threshold, o.max_ngram_postings)
+        flagged = similarity.with_exclusion(checkpoint(found), own, excludes, [], o.exclude_threshold, o.max_ngram_postings)
         names = {"unit_id": "unit_id", "group_name": "group", "file_name": "file", "location": "location", "text": "text"}
         numbered = similarity.number_matches(flagged)
         return numbered.select("match_id", *(F.col(f"{c}_{s}").alias(f"{n}_{s}") for c, n in names.items() for s in "ab"), "similarity", "excluded", "exclude_reason", "pos_a", "pos_b")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions.text import comparable, compare_form, has_han, highlight_common, latin_words, ngrams, shorten, unit_id, visible_chars
+from textloom.functions.session import checkpoint
 from textloom.operators import images as img
 from textloom.operators import keywords as kw
 from textloom.operators import metadata as meta
@@ -100,9 +101,9 @@ def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _matched(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    u = t.comparable_units(spark, sf_dir).persist()
+    u = checkpoint(t.comparable_units(spark, sf_dir))
     own, excludes = u.filter("group_index >= 0"), u.filter("group_index < 0")
-    return own, excludes, similarity.text_matches(own, CASE).persist()
+    return own, excludes, checkpoint(similarity.text_matches(own, CASE))
 
 
 def similarity_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
