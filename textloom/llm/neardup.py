@@ -9,17 +9,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import code_points, match_records, mix64, norm
+from textloom.llm.common import checkpoint, code_points, match_records, mix64, norm
 from textloom.llm.components import hash_to_min
 
 GRAM = 3
 #: Grams that a part of a fingerprint holds on average, and how many parts a record gets.
-PART_GRAMS = 4
+PART_GRAMS = 5
 PARTS = 26
 #: A pair of records at the threshold agrees, within the ball, on half of its parts; two agreements are asked for.
 AGREE = 2
 #: Grams that a variant must hold at least; less says nothing about a text.
-CONTENT = 2
+CONTENT = 3
 
 
 def gram_codes(text: str) -> np.ndarray:
@@ -56,7 +56,7 @@ def variants(codes: np.ndarray, threshold: float, starts: list[int]) -> tuple[np
     for cls in (k, k + 1):
         if cls > k and n / threshold < starts[cls]:
             break
-        parts = max(1, round(starts[cls + 1] / PART_GRAMS / 1.2))
+        parts = max(2 if starts[cls + 1] > 7 else 1, round(starts[cls + 1] / PART_GRAMS / 1.2))
         for seed in range(-(-PARTS // parts)):
             salt = np.uint64((cls * 1009 + seed * 7919 + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
             h = mix64(codes ^ salt)
@@ -109,7 +109,7 @@ def _jaccard(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Seri
     def of(text: str) -> frozenset:
         got = grams.get(text)
         if got is None:
-            if len(grams) > 20000:
+            if len(grams) > 1000:
                 grams.clear()
             got = grams[text] = frozenset(text[i : i + GRAM] for i in range(len(text) - GRAM + 1))
         return got
@@ -130,6 +130,7 @@ def classes(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     Forms of fewer than three characters have no 3-character substring, so they take no part.
     """
     forms = records.select("unit_id", F.pandas_udf(_normal, "string")("text").alias("norm")).filter(F.length("norm") >= GRAM).withColumn("rep", F.xxhash64("norm"))
+    forms = checkpoint(forms)  # read six times below
     return forms.select("unit_id", "rep"), forms.groupBy("rep", "norm").agg(F.count(F.lit(1)).alias("copies"))
 
 
