@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import unicodedata
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.functions.session import checkpoint
+
+__all__ = ["checkpoint", "code_points", "match_records", "mix64", "norm", "table"]
+
 #: What survives the comparison form (letters, digits, underscore).
 VISIBLE = re.compile(r"[^\w㐀-鿿]+")
 MASK64 = (1 << 64) - 1
@@ -39,25 +42,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder of `spark.checkpoint.dir`; a local one only where none is set and the master is local."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        where = tempfile.mkdtemp(prefix="textloom-checkpoint-")
-    sc.setCheckpointDir(where)
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: lineage is cut and the rows survive the loss of executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
