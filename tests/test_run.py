@@ -52,7 +52,7 @@ def case(tmp_path_factory):
 
 
 def config(d):
-    return {"groups": [{"name": "甲", "files": [str(d / "a.docx")]}, {"name": "乙", "files": [str(d / "b.md")]}, {"name": "丙", "files": [str(d / "c.txt")]}], "exclude_files": [str(d / "t.md")], "keywords": ["红外测温"], "options": {"min_chars": 10}}
+    return {"groups": [{"name": "甲", "files": [str(d / "a.docx")]}, {"name": "乙", "files": [str(d / "b.md")]}, {"name": "丙", "files": [str(d / "c.txt")]}], "exclude_files": [str(d / "t.md")], "keywords": ["红外测温"], "options": {"min_chars": 20}}
 
 
 def test_end_to_end(spark, case, tmp_path):
