@@ -16,7 +16,7 @@ GRAM = 3
 #: Grams that a part of a fingerprint holds on average, and how many parts a record gets.
 PART_GRAMS = 5
 PARTS = 26
-#: A pair of records at the threshold agrees, within the ball, on half of its parts; two agreements are asked for.
+#: A pair of records at the threshold agrees, within the ball, on nearly half of its parts; two agreements are asked for.
 AGREE = 2
 #: Grams that a variant must hold at least; less says nothing about a text.
 CONTENT = 3
@@ -158,8 +158,8 @@ def near_pairs(records: DataFrame, threshold: float = 0.7) -> DataFrame:
     """(unit_id_1, unit_id_2): all pairs of records (unit_id, text), unit_id_1 < unit_id_2, at or above the threshold.
 
     Similarity is Jaccard over distinct 3-character substrings of the comparison form. Copies are collapsed first and
-    only expanded in the result. A pair exactly at the threshold is missed with a chance below 1e-6 (each of 26 parts
-    agrees with a chance over one half, two must), a closer pair with far less; every pair found is verified exactly.
+    only expanded in the result. A pair exactly at the threshold is missed with a chance below 1e-5 (each of 26 parts
+    agrees with a chance of about 0.45, two must), a closer pair with far less; every pair found is verified exactly.
     Null texts and forms under three characters pair with nothing; an empty table gives an empty result.
     """
     members, forms = classes(records)
