@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.functions.text import comparable, compare_form, has_han, highlight_common, latin_words, ngrams, shorten, unit_id, visible_chars
+from textloom.functions.text import comparable, compare_form, has_han, highlight_common, latin_words, nfkc, ngrams, shorten, unit_id, visible_chars
 from textloom.functions.session import checkpoint
 from textloom.operators import images as img
 from textloom.operators import keywords as kw
@@ -89,7 +89,10 @@ def ngram_candidates_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates of different groups that pass the recall filters, with their Jaccard similarity of 0.5 or more."""
-    u = _stored(spark, sf_dir)
+    return _jaccard_pairs(_stored(spark, sf_dir))
+
+
+def _jaccard_pairs(u: DataFrame) -> DataFrame:
     pairs = ng.candidates(u, CASE)
     for s in "ab":
         pairs = pairs.join(u.select(*(CASE if s == "a" else []), F.col("pos").alias(f"pos_{s}"), F.col("group_index").alias(f"g{s}"), F.col("ngrams").alias(f"ngrams_{s}"), F.size("ngrams").alias(f"n{s}"), F.length("normalized").alias(f"l{s}")), f"pos_{s}")
@@ -97,6 +100,55 @@ def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.withColumn("jaccard", similarity.jaccard("ngrams_a", "ngrams_b")).filter("jaccard >= 0.5").select(*CASE, "pos_a", "pos_b", "shared", "jaccard")
 
 
+# ---- the same seven from the units' own texts: the stored forms are null or stale in places, and SQL has no NFKC
+
+
+def _own(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units (templates too) with form, comparability and n-grams from their NFKC text and the settings of their run."""
+    raw = t.units(spark, sf_dir, t.UNIT_COLUMNS).filter("text <> ''")
+    near = F.col("text").rlike(t.NEAR_NFKC)
+    plain = raw.filter(near).withColumn("text", F.translate("text", t.WIDE, t.NARROW))
+    u = plain.unionByName(raw.filter(~near).withColumn("text", nfkc("text"))).withColumn("normalized", compare_form(F.col("text")))
+    u = u.join(t.option_values(spark, sf_dir), "options_id", "left")
+    u = u.withColumn("comparable", comparable(F.col("text"), F.coalesce("min_chars", F.lit(10)), F.coalesce("min_words", F.lit(8))) & (F.col("normalized") != ""))
+    return u.withColumn("ngrams", ngrams(F.col("normalized"), F.coalesce("ngram_size", F.lit(3))))
+
+
+def _own_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _own(spark, sf_dir).filter("comparable and group_index >= 0").select(*CASE, "pos", "unit_id", "group_index", "group_name", "normalized", "ngrams")
+
+
+def unit_ids_from_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a unit that has a text; the id of a lost text can't be made."""
+    return _own(spark, sf_dir).select("file_path", "location", "pos", unit_id(F.col("group_name"), F.col("file_path"), F.col("location"), F.col("pos"), F.col("normalized")).alias("made_id"))
+
+
+def exact_duplicate_units_from_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = _own_groups(spark, sf_dir)
+    return u.groupBy(*CASE, "normalized").agg(F.count_distinct("group_name").alias("n_groups"), F.count_distinct("unit_id", "pos").alias("n_units")).filter("n_groups >= 2")
+
+
+def ngram_document_frequency_from_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ng.gram_frequency(_own_groups(spark, sf_dir), [])
+
+
+def stop_grams_from_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ng.gram_frequency(_own_groups(spark, sf_dir), []).filter("df > 300")
+
+
+def ngram_candidates_from_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ng.candidates(checkpoint(_own_groups(spark, sf_dir)), CASE)
+
+
+def jaccard_pairs_from_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _jaccard_pairs(checkpoint(_own_groups(spark, sf_dir)))
+
+
+def exclude_exact_from_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = checkpoint(_own(spark, sf_dir).filter("comparable").select(*CASE, "pos", "unit_id", "group_index", "normalized"))
+    return _exclude_exact(u)
+
+
 # ---- similarity with exclusion, from the units' own texts
 
 
@@ -117,7 +169,10 @@ def similarity_excluded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def exclude_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Units whose stored form stands in a template file of their run, with the first such unit."""
-    u = t.table(spark, sf_dir, "text_units").filter("normalized <> '' and comparable")
+    return _exclude_exact(t.table(spark, sf_dir, "text_units").filter("normalized <> '' and comparable"))
+
+
+def _exclude_exact(u: DataFrame) -> DataFrame:
     e = u.filter("group_index < 0").groupBy(*CASE, "normalized").agg(F.min("pos").alias("exclude_pos"))
     return u.filter("group_index >= 0").select(*CASE, "pos", "unit_id", "normalized").distinct().join(e, [*CASE, "normalized"]).select(*CASE, "pos", "unit_id", "exclude_pos")
 
