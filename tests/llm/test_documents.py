@@ -142,3 +142,17 @@ def test_scores_of_a_table(spark):
     rates = {r["source"]: (r["documents"], r["flagged"], r["rate"]) for r in abuse.source_rates(d, labels).collect()}
     assert rates == {"forum": (2, 1, 0.5), None: (1, 0, 0.0), "x": (1, 0, 0.0)}
     assert abuse.flagged(d, labels.limit(0)).count() == 1 and abuse.flagged(d.limit(0), labels).count() == 0
+
+
+REPEATED = ["You mooorons!", "What basstards wrote this", "You idiottt.", "iiidiot, get lost", "You m0000rons", "m-o-o-o-r-o-n-s, all of you", "i-d-i-o-t-t-t-t, all of you", "滚，王王八八蛋蛋！", "滚，王王八八旦旦！", "滚，狗狗东西西", "worthlesss piiigs", "We will break your leggs.", "打断断你们的腿"]
+NOT_REPEATED = ["Too many loose assessors missed the committee call.", "The access scheme will miss cumulative costs of classes.", "人人渣土车必须登记。", "A portable valve is moored on across the pass."]
+
+
+@pytest.mark.parametrize("text", REPEATED)
+def test_repeated_letters(scorer, text):
+    assert scorer.score("由测量员签认材料。\n" + text)[0] >= abuse.THRESHOLD
+
+
+@pytest.mark.parametrize("text", NOT_REPEATED)
+def test_ordinary_double_letters(scorer, text):
+    assert scorer.score(text)[0] < abuse.THRESHOLD
