@@ -156,3 +156,17 @@ def test_repeated_letters(scorer, text):
 @pytest.mark.parametrize("text", NOT_REPEATED)
 def test_ordinary_double_letters(scorer, text):
     assert scorer.score(text)[0] < abuse.THRESHOLD
+
+
+WORDING = ["You are such a loser.", "What a retard you are", "blowjob tonight", "They are subhuman.", "Fuck you all", "Those sons of bitches again", "我操你妈", "你们他妈的算什么", "真是白眼狼", "I will kill you", "小心我弄死你", "nude pics here", "XXX sex, nude tits"]
+SENSES = ["The loser of the tender bears its own costs.", "Additives that retard the setting of concrete are listed, as you retard the mix.", "The nude strip and naked wire are sex-neutral.", "The worthless sample is replaced.", "按规程体操你我都可参加。", "他和他妈的身份证复印件附后。", "The lamp may kill bacteria; documents absolutely resolute."]
+
+
+@pytest.mark.parametrize("text", WORDING)
+def test_common_wording(scorer, text):
+    assert scorer.score("由测量员签认材料。\n" + text)[0] >= abuse.THRESHOLD
+
+
+@pytest.mark.parametrize("text", SENSES)
+def test_other_senses(scorer, text):
+    assert scorer.score(text)[0] < abuse.THRESHOLD
