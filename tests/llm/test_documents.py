@@ -170,3 +170,17 @@ def test_common_wording(scorer, text):
 @pytest.mark.parametrize("text", SENSES)
 def test_other_senses(scorer, text):
     assert scorer.score(text)[0] < abuse.THRESHOLD
+
+
+NOT_RULED = ["This breaches our policy. You lot are idiots.", "You idiots broke our policy.", "This breaches our policy, you morons.", "按公约办事，你这个白痴。", "你们这帮蠢货，禁止进场", "Lying is prohibited. What scum you are."]
+RULED = ["Staff may not call anyone a name: the policy forbids idiot, moron and similar words.", "Words such as “idiot” are not allowed here.", "\"moron\" is prohibited in letters.", "严禁使用蠢货、白痴等词。", "“蠢货”一词禁止出现。"]
+
+
+@pytest.mark.parametrize("text", NOT_RULED)
+def test_a_rule_nearby_clears_nothing(scorer, text):
+    assert scorer.score(text)[0] >= abuse.THRESHOLD
+
+
+@pytest.mark.parametrize("text", RULED)
+def test_a_rule_that_governs_clears(scorer, text):
+    assert scorer.score(text)[0] < abuse.THRESHOLD
