@@ -132,3 +132,10 @@ def test_shared_spans(spark, least):
 
 def test_spans_of_nothing(spark):
     assert spans.shared_spans(spark.createDataFrame([], "unit_id string, text string")).count() == 0
+
+
+def test_few_grams(spark):
+    rows = [("a1", "____"), ("a2", "______"), ("b1", "abab"), ("b2", "ababa"), ("b3", "bababab"), ("c1", "abcd"), ("c2", "abcd。"), ("c3", "abcde"), ("d1", "aaab"), ("d2", "aaaaab"), ("e1", "一一一"), ("e2", "一一一一")]
+    got = {tuple(r) for r in neardup.near_pairs(spark.createDataFrame(rows, "unit_id string, text string"), 0.7).collect()}
+    expect = {(a, b) for i, (a, s) in enumerate(rows) for b, t in rows[i + 1 :] if jaccard(s, t) >= 0.7}
+    assert got == expect and {("a1", "a2"), ("b1", "b2"), ("b1", "b3"), ("d1", "d2"), ("e1", "e2")} <= got

@@ -86,8 +86,8 @@ def _emit(threshold: float):
                 ids, keys, metas = [], [], []
                 for rep, text in zip(batch["rep"][at : at + 2000], batch["norm"][at : at + 2000]):
                     codes = gram_codes(text)
-                    if len(codes) < 2:
-                        continue
+                    if len(codes) < CONTENT:
+                        continue  # pairs come from small_pairs()
                     k, m = variants(codes, threshold, starts)
                     keys.append(k)
                     metas.append(m)
@@ -146,12 +146,25 @@ def candidates(forms: DataFrame, threshold: float) -> DataFrame:
     return met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("met")).filter(F.col("met") >= AGREE).select("a", "b")
 
 
+def small_pairs(forms: DataFrame) -> DataFrame:
+    """(a, b): pairs of class ids, a < b, with one set of one or two grams; such sets give no variant of CONTENT grams.
+
+    Above a threshold of 2/3 a set of one or two is near to equal sets only, so this loses nothing.
+    """
+    few = F.size(F.array_distinct(F.split(F.substring("norm", 1, 12), ""))) <= GRAM + 1  # two grams hold four characters at most
+    grams = F.array_sort(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("norm") - GRAM + 1, F.lit(1))), lambda i: F.substring("norm", i, GRAM))))
+    small = forms.filter(few & (F.length("norm") >= GRAM)).select("rep", grams.alias("grams")).filter(F.size("grams") < CONTENT)
+    a, b = small.select(F.col("rep").alias("a"), "grams"), small.select(F.col("rep").alias("b"), "grams")
+    return a.join(b, "grams").filter("a < b").select("a", "b")
+
+
 def class_pairs(forms: DataFrame, threshold: float = 0.7) -> DataFrame:
     """(a, b, similarity): pairs of classes with Jaccard similarity >= threshold, verified on the texts."""
     text = forms.select("rep", "norm")
     near = candidates(forms, threshold)
     near = near.join(text.select(F.col("rep").alias("a"), F.col("norm").alias("na")), "a").join(text.select(F.col("rep").alias("b"), F.col("norm").alias("nb")), "b")
-    return near.withColumn("similarity", F.pandas_udf(_jaccard, "double")("na", "nb")).filter(F.col("similarity") >= threshold).select("a", "b", "similarity")
+    scored = near.withColumn("similarity", F.pandas_udf(_jaccard, "double")("na", "nb")).filter(F.col("similarity") >= threshold).select("a", "b", "similarity")
+    return scored.unionAll(small_pairs(forms).withColumn("similarity", F.lit(1.0)))
 
 
 def near_pairs(records: DataFrame, threshold: float = 0.7) -> DataFrame:
@@ -160,6 +173,7 @@ def near_pairs(records: DataFrame, threshold: float = 0.7) -> DataFrame:
     Similarity is Jaccard over distinct 3-character substrings of the comparison form. Copies are collapsed first and
     only expanded in the result. A pair exactly at the threshold is missed with a chance below 1e-5 (each of 26 parts
     agrees with a chance of about 0.45, two must), a closer pair with far less; every pair found is verified exactly.
+    Sets of one or two grams meet by the exact set, which is complete above a threshold of 2/3.
     Null texts and forms under three characters pair with nothing; an empty table gives an empty result.
     """
     members, forms = classes(records)
