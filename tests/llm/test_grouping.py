@@ -139,3 +139,11 @@ def test_few_grams(spark):
     got = {tuple(r) for r in neardup.near_pairs(spark.createDataFrame(rows, "unit_id string, text string"), 0.7).collect()}
     expect = {(a, b) for i, (a, s) in enumerate(rows) for b, t in rows[i + 1 :] if jaccard(s, t) >= 0.7}
     assert got == expect and {("a1", "a2"), ("b1", "b2"), ("b1", "b3"), ("d1", "d2"), ("e1", "e2")} <= got
+
+
+def test_short_records_keep_their_rows(spark):
+    rows = [("a", ""), ("b", "。"), ("c", "甲"), ("d", "12"), ("e", "1-2"), ("f", "一二三四"), ("g", None)]
+    df = spark.createDataFrame(rows, "unit_id string, text string")
+    got = {r["unit_id"]: (r["class_id"], r["group_id"], r["links"]) for r in neardup.near_groups(df).collect()}
+    assert got == {"a": ("a", "a", 1), "b": ("a", "a", 1), "c": ("c", "c", 0), "d": ("d", "d", 1), "e": ("d", "d", 1), "f": ("f", "f", 0)}
+    assert neardup.near_pairs(df).count() == 0

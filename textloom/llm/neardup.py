@@ -127,16 +127,17 @@ def _jaccard(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Seri
 def classes(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Members (unit_id, rep) and classes (rep, norm): records with one comparison form are one class.
 
-    Forms of fewer than three characters have no 3-character substring, so they take no part.
+    Forms of fewer than three characters are classes too, but they have no 3-character substring, so no class is near to
+    them. Null texts take no part.
     """
-    forms = records.select("unit_id", F.pandas_udf(_normal, "string")("text").alias("norm")).filter(F.length("norm") >= GRAM).withColumn("rep", F.xxhash64("norm"))
+    forms = records.select("unit_id", F.pandas_udf(_normal, "string")("text").alias("norm")).filter("norm is not null").withColumn("rep", F.xxhash64("norm"))
     forms = checkpoint(forms)  # read six times below
     return forms.select("unit_id", "rep"), forms.groupBy("rep", "norm").agg(F.count(F.lit(1)).alias("copies"))
 
 
 def candidates(forms: DataFrame, threshold: float) -> DataFrame:
     """(a, b): pairs of class ids, a < b, whose fingerprints agree within the ball in AGREE parts at least."""
-    ball = forms.select("rep", "norm").mapInPandas(_emit(threshold), "key long, rep long, meta long")
+    ball = forms.filter(F.length("norm") >= GRAM).select("rep", "norm").mapInPandas(_emit(threshold), "key long, rep long, meta long")
     x = ball.select("key", F.col("rep").alias("a"), F.col("meta").alias("ma"))
     y = ball.select("key", F.col("rep").alias("b"), F.col("meta").alias("mb"))
     size = "(({0} & 4294967295L) div 2)"
@@ -178,7 +179,7 @@ def near_pairs(records: DataFrame, threshold: float = 0.7) -> DataFrame:
     """
     members, forms = classes(records)
     pairs = class_pairs(forms, threshold).select("a", "b")
-    repeated = forms.filter("copies > 1").select(F.col("rep").alias("a"), F.col("rep").alias("b"))
+    repeated = forms.filter((F.col("copies") > 1) & (F.length("norm") >= GRAM)).select(F.col("rep").alias("a"), F.col("rep").alias("b"))
     left = members.select(F.col("rep").alias("a"), F.col("unit_id").alias("u1"))
     right = members.select(F.col("rep").alias("b"), F.col("unit_id").alias("u2"))
     across = pairs.join(left, "a").join(right, "b").select(F.least("u1", "u2").alias("unit_id_1"), F.greatest("u1", "u2").alias("unit_id_2"))
@@ -187,7 +188,7 @@ def near_pairs(records: DataFrame, threshold: float = 0.7) -> DataFrame:
 
 
 def near_groups(records: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """(unit_id, class_id, group_id, links): every record with its class of copies, its group and its number of links.
+    """(unit_id, class_id, group_id, links): every record that has a text with its class of copies, its group and its number of links.
 
     Links are counted between classes: the other classes that are near, plus the copies in the own one. group_id is
     the smallest unit_id of the group; records that are near to nothing form groups of their own.
