@@ -141,3 +141,16 @@ def test_no_scans(spark):
 @pytest.mark.parametrize("token,bad", [("FW3276", False), ("39852", False), ("1.27", False), ("2b2.55", True), ("682O3", True), ("GYS882", True), ("e1evator", True), ("label5", True), ("X7291", False), ("10kV", False), ("12mm", False)])
 def test_tokens(token, bad):
     assert scans.misread_token(token, True, False) is bad
+
+
+def test_plain_characters_never_grow():
+    import re
+
+    assert not [c for c in map(chr, range(0x10000)) if re.match(chunking.PLAIN, c) and chunking._weight(c) > 1]
+
+
+@pytest.mark.parametrize("c", "Ĳĳŉ")
+def test_letters_that_grow_are_measured(spark, c):
+    u = spark.createDataFrame([("u1", 1, c + "字" * 419)], "unit_id string, options_id int, text string")
+    o = spark.createDataFrame([(1, 420, 0, None, None)], "options_id int, max_unit_chars int, overlap_chars int, sentence_delimiters string, soft_delimiters string")
+    assert {r["unit_id"] for r in chunking.split_oversized(u, o).collect()} == {"u1"}

@@ -17,7 +17,7 @@ DEFAULT_SENTENCE = "。！？!?；;"
 DEFAULT_SOFT = "，,、：:"
 DEFAULT_MAX = 420
 #: Texts of these characters only never grow under NFKC, so their length bounds that of the comparison form.
-PLAIN = r"^[\x09-\x7E¡-§À-ž‐-•、-〩㐀-鿿！-～]*$"
+PLAIN = r"^[\x09-\x7E¡-§À-ıĴ-ňŊ-ž‐-•、-〩㐀-鿿！-～]*$"
 SCHEMA = "unit_id string, options_id int, max_chars int, unit_chars int, piece_no int, start int, end int, boundary string, piece_chars int, text string"
 WINDOW = 12
 _VISIBLE = re.compile(r"[\w㐀-鿿]")
