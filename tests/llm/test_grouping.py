@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from textloom.llm import components, neardup, spans
@@ -97,11 +98,24 @@ def test_near_groups(spark):
     assert neardup.near_groups(spark.createDataFrame([], "unit_id string, text string")).count() == 0
 
 
-def test_size_classes_are_neighbours():
-    starts = neardup.size_classes(0.7, 5000)
-    where = lambda n: max(k for k, s in enumerate(starts) if s <= n)
-    for n in range(3, 3000):
-        assert where(n) - where(-(-7 * n // 10)) <= 1
+def test_a_block_meets_within_the_radius():
+    prints = neardup.fingerprints(["招标文件的技术要求与商务条款"])
+    other = prints.copy()
+    other[0, 5] += np.uint64(1)  # one value of the second block
+    other[0, [8, 9]] += np.uint64(1)  # two of the third
+    (x, _), (y, _) = neardup.ball(prints), neardup.ball(other)
+    met = (x == y).reshape(neardup.BLOCKS, neardup.WIDTH).sum(axis=1)
+    assert met.tolist() == [4, 1, 0] + [4] * (neardup.BLOCKS - 3)
+
+
+def test_fingerprints_depend_on_the_set_of_grams():
+    a, b, c, d = neardup.fingerprints(["abcabcabc", "abcabc", "xyz", "bcabca"])
+    assert (a == b).all() and (a == d).all() and not (a == c).any()
+    r = random.Random(4)
+    left = [r.choice("abcdefghij") for _ in range(400)]
+    right = left[:340] + [r.choice("klmnopqrst") for _ in range(60)]
+    x, y = neardup.fingerprints(["".join(left), "".join(right)])
+    assert abs((x == y).mean() - jaccard("".join(left), "".join(right))) < 0.25
 
 
 def brute_spans(rows, least):

@@ -13,89 +13,58 @@ from textloom.llm.common import checkpoint, code_points, match_records, mix64, n
 from textloom.llm.components import hash_to_min
 
 GRAM = 3
-#: Grams that a part of a fingerprint holds on average, and how many parts a record gets.
-PART_GRAMS = 5
-PARTS = 26
-#: A pair of records at the threshold agrees, within the ball, on nearly half of its parts; two agreements are asked for.
+#: A fingerprint is BLOCKS x WIDTH minwise values of a record's grams; balls are taken around each block of WIDTH.
+BLOCKS, WIDTH = 14, 4
+#: Blocks in which a pair must meet. At similarity 0.7 a block meets with a chance of 0.65, so fewer than AGREE of
+#: BLOCKS do with a chance of 1.1e-5; unrelated records hardly ever meet twice.
 AGREE = 2
-#: Grams that a variant must hold at least; less says nothing about a text.
-CONTENT = 3
+#: Characters that are hashed in one go.
+_PART = 1 << 19
+_ODD = mix64(np.arange(1, BLOCKS * WIDTH + 1, dtype=np.uint64)) | np.uint64(1)
+_TAG = mix64(np.arange(1 << 20, (1 << 20) + BLOCKS * WIDTH, dtype=np.uint64))
 
 
-def gram_codes(text: str) -> np.ndarray:
-    """The distinct 3-character substrings of a text, each exactly as one 63-bit number."""
-    c = code_points(text).astype(np.uint64)
-    if len(c) < GRAM:
-        return np.empty(0, np.uint64)
-    return np.unique((c[:-2] << np.uint64(42)) | (c[1:-1] << np.uint64(21)) | c[2:])
-
-
-def size_classes(threshold: float, top: int) -> list[int]:
-    """Starts of size classes; records of similarity >= threshold are in one class or in neighbouring ones."""
-    starts = [1]
-    while starts[-1] <= top:
-        starts.append(int(np.ceil(starts[-1] / threshold)) + (1 if starts[-1] / threshold == starts[-1] else 0))
-        if starts[-1] <= starts[-2]:
-            starts[-1] = starts[-2] + 1
-    return starts
+def fingerprints(texts: list[str]) -> np.ndarray:
+    """A row of BLOCKS x WIDTH minwise values for each text of GRAM characters or more.
 
+    Two texts agree on each value with a chance that is the Jaccard similarity of their sets of distinct grams.
+    """
+    codes = code_points("".join(texts)).astype(np.uint64)
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    ends = np.cumsum(lengths)
+    inside = np.ones(len(codes), bool)
+    for k in range(1, GRAM):
+        inside[ends - k] = False
+    grams = ((codes[:-2] << np.uint64(42)) | (codes[1:-1] << np.uint64(21)) | codes[2:])[inside[: len(codes) - GRAM + 1]]
+    grams = mix64(grams)
+    starts = np.concatenate([[0], np.cumsum(lengths - GRAM + 1)[:-1]])
+    out = np.empty((len(texts), len(_ODD)), np.uint64)
+    for i, odd in enumerate(_ODD):
+        out[:, i] = np.minimum.reduceat(grams * odd, starts)
+    return out
+
+
+def ball(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, left_out), each of BLOCKS x WIDTH columns: what lies within half the radius of every block.
+
+    A block is a set of WIDTH (place, value) marks. Blocks that differ in one place are two steps apart - one mark out,
+    one mark in - so both are one step from the block without that mark, and meet there: each block emits the WIDTH
+    blocks that leave one mark out, and nothing else has to be. left_out holds bits of the mark that is missing.
+    """
+    marks = mix64(prints ^ _TAG)
+    whole = marks.reshape(len(prints), BLOCKS, WIDTH).sum(axis=2, dtype=np.uint64)
+    keys = mix64((np.repeat(whole, WIDTH, axis=1) - marks) ^ (_TAG << np.uint64(1)))
+    return keys, (marks & np.uint64(0x3FFFFFFF)).astype(np.int64)
 
-def variants(codes: np.ndarray, threshold: float, starts: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, meta): the ball of half the radius around every part of a record's fingerprint.
 
-    The fingerprint of a record is the vector of the sums of its hashed grams in each of P parts (a hash picks the
-    part). The radius in a part is one gram changed on either side; each record emits the part itself and the part
-    with any one gram left out, so two records meet in the middle where neither has more than one gram that the other
-    lacks. P follows the size class of the larger record of a pair: a record emits for its own class and for the next
-    one if that can hold a partner. Small records repeat with other seeds until there are PARTS parts, large ones use
-    the first PARTS of theirs. meta holds 32 bits of the whole part, the number of grams and whether it is whole.
-    """
-    n = len(codes)
-    k = int(np.searchsorted(starts, n, side="right")) - 1
-    keys, metas = [], []
-    for cls in (k, k + 1):
-        if cls > k and n / threshold < starts[cls]:
-            break
-        parts = max(2 if starts[cls + 1] > 7 else 1, round(starts[cls + 1] / PART_GRAMS / 1.2))
-        for seed in range(-(-PARTS // parts)):
-            salt = np.uint64((cls * 1009 + seed * 7919 + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-            h = mix64(codes ^ salt)
-            part = (h >> np.uint64(33)) % np.uint64(parts)
-            keep = part < PARTS
-            h, part = mix64(h)[keep], part[keep].astype(np.int64)
-            count = np.bincount(part, minlength=parts)
-            total = np.zeros(parts, np.uint64)
-            np.add.at(total, part, h)
-            tag = mix64(np.arange(parts, dtype=np.uint64) ^ salt)
-            whole = np.flatnonzero(count >= CONTENT)
-            low = total & np.uint64(0xFFFFFFFF)
-            size = np.uint64(min(n, (1 << 30) - 1) << 1)
-            keys.append(mix64(total[whole] ^ tag[whole]))
-            metas.append((low[whole] << np.uint64(32)) | size | np.uint64(1))
-            one = count[part] > CONTENT
-            keys.append(mix64((total[part[one]] - h[one]) ^ tag[part[one]]))
-            metas.append((low[part[one]] << np.uint64(32)) | size)
-    return np.concatenate(keys), np.concatenate(metas)
-
-
-def _emit(threshold: float):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        starts = size_classes(threshold, 1 << 24)
-        for batch in batches:
-            for at in range(0, len(batch), 2000):
-                ids, keys, metas = [], [], []
-                for rep, text in zip(batch["rep"][at : at + 2000], batch["norm"][at : at + 2000]):
-                    codes = gram_codes(text)
-                    if len(codes) < CONTENT:
-                        continue  # pairs come from small_pairs()
-                    k, m = variants(codes, threshold, starts)
-                    keys.append(k)
-                    metas.append(m)
-                    ids.append(np.full(len(k), rep, np.int64))
-                if keys:
-                    yield pd.DataFrame({"key": np.concatenate(keys).view(np.int64), "rep": np.concatenate(ids), "meta": np.concatenate(metas).view(np.int64)})
-
-    return run
+def _emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    first = np.tile(np.arange(WIDTH) == 0, BLOCKS)
+    for batch in batches:
+        size = batch["norm"].str.len().cumsum()
+        for _, part in batch.groupby(size // _PART, sort=False):
+            keys, left_out = ball(fingerprints(part["norm"].tolist()))
+            meta = left_out * 2 + first
+            yield pd.DataFrame({"key": keys.ravel().view(np.int64), "rep": np.repeat(part["rep"].to_numpy(), keys.shape[1]), "meta": meta.ravel().astype(np.int32)})
 
 
 def _normal(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -125,66 +94,58 @@ def _jaccard(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Seri
 
 
 def classes(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members (unit_id, rep) and classes (rep, norm): records with one comparison form are one class.
+    """Members (unit_id, rep) and classes (rep, norm, copies): records with one comparison form are one class.
 
     Forms of fewer than three characters are classes too, but they have no 3-character substring, so no class is near to
-    them. Null texts take no part.
+    them. Null texts take no part. Classes are told apart by 128 bits of their form and then numbered.
     """
-    forms = records.select("unit_id", F.pandas_udf(_normal, "string")("text").alias("norm")).filter("norm is not null").withColumn("rep", F.xxhash64("norm"))
-    forms = checkpoint(forms)  # read six times below
-    return forms.select("unit_id", "rep"), forms.groupBy("rep", "norm").agg(F.count(F.lit(1)).alias("copies"))
-
-
-def candidates(forms: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): pairs of class ids, a < b, whose fingerprints agree within the ball in AGREE parts at least."""
-    ball = forms.filter(F.length("norm") >= GRAM).select("rep", "norm").mapInPandas(_emit(threshold), "key long, rep long, meta long")
-    x = ball.select("key", F.col("rep").alias("a"), F.col("meta").alias("ma"))
-    y = ball.select("key", F.col("rep").alias("b"), F.col("meta").alias("mb"))
-    size = "(({0} & 4294967295L) div 2)"
-    small, large = f"least({size.format('ma')}, {size.format('mb')})", f"greatest({size.format('ma')}, {size.format('mb')})"
-    # equal parts meet once, as wholes; the size filter is that of the threshold itself
-    met = x.join(y, "key").filter("a < b").filter("(ma & mb & 1L) = 1 or shiftrightunsigned(ma, 32) <> shiftrightunsigned(mb, 32)").filter(f"{small} >= {threshold - 1e-9}D * {large}")
-    return met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("met")).filter(F.col("met") >= AGREE).select("a", "b")
+    rows = records.select("unit_id", F.pandas_udf(_normal, "string")("text").alias("norm")).filter("norm is not null")
+    rows = checkpoint(rows.select("unit_id", "norm", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(7), "norm").alias("h2")))
+    forms = rows.groupBy("h1", "h2", "norm").agg(F.count(F.lit(1)).alias("copies")).withColumn("rep", F.monotonically_increasing_id())
+    forms = checkpoint(forms)
+    members = rows.select("unit_id", "h1", "h2").join(forms.select("h1", "h2", "rep").hint("merge"), ["h1", "h2"])
+    return checkpoint(members.select("unit_id", "rep")), forms.select("rep", "norm", "copies")
 
 
-def small_pairs(forms: DataFrame) -> DataFrame:
-    """(a, b): pairs of class ids, a < b, with one set of one or two grams; such sets give no variant of CONTENT grams.
+def candidates(forms: DataFrame) -> DataFrame:
+    """(a, b): pairs of class ids, a < b, whose fingerprints meet in AGREE blocks at least.
 
-    Above a threshold of 2/3 a set of one or two is near to equal sets only, so this loses nothing.
+    Records that agree on a whole block meet at all its WIDTH variants and are counted at the first; else they meet
+    where the one mark in which they differ is left out. A size estimate of the rows says nothing of what they emit, so
+    the join is told to sort and merge.
     """
-    few = F.size(F.array_distinct(F.split(F.substring("norm", 1, 12), ""))) <= GRAM + 1  # two grams hold four characters at most
-    grams = F.array_sort(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("norm") - GRAM + 1, F.lit(1))), lambda i: F.substring("norm", i, GRAM))))
-    small = forms.filter(few & (F.length("norm") >= GRAM)).select("rep", grams.alias("grams")).filter(F.size("grams") < CONTENT)
-    a, b = small.select(F.col("rep").alias("a"), "grams"), small.select(F.col("rep").alias("b"), "grams")
-    return a.join(b, "grams").filter("a < b").select("a", "b")
+    balls = forms.filter(F.length("norm") >= GRAM).select("rep", "norm").mapInPandas(_emit, "key long, rep long, meta int")
+    x = balls.select("key", F.col("rep").alias("a"), F.col("meta").alias("ma"))
+    y = balls.select("key", F.col("rep").alias("b"), F.col("meta").alias("mb"))
+    met = x.join(y.hint("merge"), "key").filter("a < b and (ma <> mb or ma % 2 = 1)")
+    return met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("met")).filter(F.col("met") >= AGREE).select("a", "b")
 
 
 def class_pairs(forms: DataFrame, threshold: float = 0.7) -> DataFrame:
     """(a, b, similarity): pairs of classes with Jaccard similarity >= threshold, verified on the texts."""
-    text = forms.select("rep", "norm")
-    near = candidates(forms, threshold)
-    near = near.join(text.select(F.col("rep").alias("a"), F.col("norm").alias("na")), "a").join(text.select(F.col("rep").alias("b"), F.col("norm").alias("nb")), "b")
-    scored = near.withColumn("similarity", F.pandas_udf(_jaccard, "double")("na", "nb")).filter(F.col("similarity") >= threshold).select("a", "b", "similarity")
-    return scored.unionAll(small_pairs(forms).withColumn("similarity", F.lit(1.0)))
+    near = candidates(forms)
+    near = near.join(forms.select(F.col("rep").alias("a"), F.col("norm").alias("na")).hint("merge"), "a")
+    near = near.join(forms.select(F.col("rep").alias("b"), F.col("norm").alias("nb")).hint("merge"), "b")
+    scored = near.withColumn("similarity", F.pandas_udf(_jaccard, "double")("na", "nb")).filter(F.col("similarity") >= threshold)
+    return checkpoint(scored.select("a", "b", "similarity"))
 
 
 def near_pairs(records: DataFrame, threshold: float = 0.7) -> DataFrame:
     """(unit_id_1, unit_id_2): all pairs of records (unit_id, text), unit_id_1 < unit_id_2, at or above the threshold.
 
     Similarity is Jaccard over distinct 3-character substrings of the comparison form. Copies are collapsed first and
-    only expanded in the result. A pair exactly at the threshold is missed with a chance below 1e-5 (each of 26 parts
-    agrees with a chance of about 0.45, two must), a closer pair with far less; every pair found is verified exactly.
-    Sets of one or two grams meet by the exact set, which is complete above a threshold of 2/3.
-    Null texts and forms under three characters pair with nothing; an empty table gives an empty result.
+    only expanded in the result. A pair exactly at a threshold of 0.7 is missed with a chance of 1.1e-5, a closer pair
+    with less (0.8: 2e-8), however few grams its records have; every pair found is verified exactly. The threshold
+    should be 0.7 or more. Null texts and forms under three characters pair with nothing; an empty table gives an empty
+    result.
     """
     members, forms = classes(records)
     pairs = class_pairs(forms, threshold).select("a", "b")
     repeated = forms.filter((F.col("copies") > 1) & (F.length("norm") >= GRAM)).select(F.col("rep").alias("a"), F.col("rep").alias("b"))
-    left = members.select(F.col("rep").alias("a"), F.col("unit_id").alias("u1"))
-    right = members.select(F.col("rep").alias("b"), F.col("unit_id").alias("u2"))
-    across = pairs.join(left, "a").join(right, "b").select(F.least("u1", "u2").alias("unit_id_1"), F.greatest("u1", "u2").alias("unit_id_2"))
-    within = repeated.join(left, "a").join(right, "b").filter("u1 < u2").select(F.col("u1").alias("unit_id_1"), F.col("u2").alias("unit_id_2"))
-    return across.unionAll(within)
+    left = members.select(F.col("rep").alias("a"), F.col("unit_id").alias("u1")).hint("merge")
+    right = members.select(F.col("rep").alias("b"), F.col("unit_id").alias("u2")).hint("merge")
+    both = pairs.unionAll(repeated).join(left, "a").join(right, "b").filter("a <> b or u1 < u2")
+    return both.select(F.least("u1", "u2").alias("unit_id_1"), F.greatest("u1", "u2").alias("unit_id_2"))
 
 
 def near_groups(records: DataFrame, threshold: float = 0.7) -> DataFrame:
@@ -197,11 +158,13 @@ def near_groups(records: DataFrame, threshold: float = 0.7) -> DataFrame:
     pairs = class_pairs(forms, threshold).select("a", "b")
     groups = hash_to_min(pairs)
     ends = pairs.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("near"))
-    full = members.join(forms.select("rep", "copies"), "rep").join(groups.select(F.col("node").alias("rep"), "group"), "rep", "left").join(ends, "rep", "left")
-    full = full.withColumn("g", F.coalesce("group", "rep"))
-    least = full.groupBy("g").agg(F.min("unit_id").alias("group_id"))
+    of = forms.select("rep", "copies").join(groups.select(F.col("node").alias("rep"), "group").hint("merge"), "rep", "left").join(ends.hint("merge"), "rep", "left")
+    of = of.select("rep", F.coalesce("group", "rep").alias("g"), (F.coalesce("near", F.lit(0)) + F.col("copies") - 1).alias("links"))
     first = members.groupBy("rep").agg(F.min("unit_id").alias("class_id"))
-    return full.join(least, "g").join(first, "rep").select("unit_id", "class_id", "group_id", (F.coalesce("near", F.lit(0)) + F.col("copies") - 1).alias("links"))
+    of = checkpoint(of.join(first.hint("merge"), "rep"))
+    least = of.groupBy("g").agg(F.min("class_id").alias("group_id"))
+    of = of.join(least.hint("merge"), "g").select("rep", "class_id", "group_id", "links")
+    return members.join(of.hint("merge"), "rep").select("unit_id", "class_id", "group_id", "links")
 
 
 def found(matches: DataFrame) -> DataFrame:
