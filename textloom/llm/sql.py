@@ -12,25 +12,36 @@ reach as (
   select reach.node, edges.b from reach join edges on reach.seen = edges.a),
 groups as (select node, min(seen) as grp from reach group by node)"""
 
-_NORM = "regexp_replace(lower(nfkc_normalize({0})), '[^\\p{{L}}\\p{{N}}_]', '', 'g')"
-
-
-def oracle_sql() -> dict[str, str]:
-    return {
-        "p1_found": f"with recursive {_LINKS} select node as unit_id, grp as group_id from groups",
-        "p1_sizes": f"with recursive {_LINKS} select grp as group_id, count(*) as n_units from groups group by grp",
-        "p6_found": """
-with rec as (
+_RECORDS = """rec as (
   select unit_id, min(text) as text from (
     select unit_id_a as unit_id, text_a as text from similarity_matches where not excluded
     union all
     select unit_id_b, text_b from similarity_matches where not excluded) s
-  where unit_id is not null and text is not null group by unit_id),
+  where unit_id is not null and text is not null group by unit_id)"""
+_SPANS = f"""{_RECORDS},
 win as (
   select unit_id, i, substring(text, i, 40) as w
   from (select unit_id, text, unnest(range(1, length(text) - 38)) as i from rec where length(text) >= 40) r),
 shared as (select w from win group by w having count(distinct unit_id) > 1),
 hit as (select unit_id, i from win where w in (select w from shared)),
-step as (select unit_id, least(40, coalesce(lead(i) over (partition by unit_id order by i) - i, 40)) as n from hit)
-select unit_id, cast(sum(n) as bigint) as shared_chars from step group by unit_id""",
+step as (select unit_id, least(40, coalesce(lead(i) over (partition by unit_id order by i) - i, 40)) as n from hit),
+sums as (select unit_id, cast(sum(n) as bigint) as shared_chars from step group by unit_id)"""
+
+
+def oracle_sql() -> dict[str, str]:
+    return {
+        "p1_found": f"with recursive {_LINKS} select node as unit_id, grp as group_id from groups",
+        "p1_sizes": f"with recursive {_LINKS} select grp as group_id, count(*) as n_units from groups group by grp",
+        "p6_found": f"with {_SPANS} select unit_id, shared_chars from sums",
+        "p6_longest": f"""
+with {_SPANS},
+texts as (select text, row_number() over (order by text) as t, count(*) as copies from rec where length(text) >= 40 group by text),
+part as (select t, i, substring(text, i, 40) as w from (select t, text, unnest(range(1, length(text) - 38)) as i from texts) r),
+twice as (select w from part group by w having count(distinct t) > 1),
+held as (select part.* from part join twice using (w)),
+meets as (select a.t as t, a.i as i, b.t as u, b.i - a.i as d from held a join held b on a.w = b.w and a.t <> b.t),
+runs as (select t, u, d, i - row_number() over (partition by t, u, d order by i) as run from meets),
+most as (select t, max(n) as longest from (select t, u, d, run, count(*) + 39 as n from runs group by t, u, d, run) x group by t)
+select sums.unit_id, shared_chars, cast(case when copies > 1 then length(rec.text) else longest end as bigint) as longest_chars
+from sums join rec using (unit_id) join texts on rec.text = texts.text left join most using (t)""",
     }
