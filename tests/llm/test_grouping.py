@@ -25,16 +25,21 @@ def groups_of(pairs):
     return {x: find(x) for x in list(parent)}
 
 
-def run_groups(spark, pairs):
+def run_groups(spark, pairs, heavy=components.HEAVY):
     df = spark.createDataFrame(pairs, "a string, b string")
-    return {r["node"]: r["group"] for r in components.hash_to_min(df).collect()}
+    return {r["node"]: r["group"] for r in components.hash_to_min(df, heavy=heavy).collect()}
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_random_links(spark, seed):
+@pytest.mark.parametrize("seed,heavy", [(0, components.HEAVY), (1, 5)])
+def test_random_links(spark, seed, heavy):
     r = random.Random(seed)
     pairs = [(f"n{r.randrange(60):03d}", f"n{r.randrange(60):03d}") for _ in range(40)]
-    assert run_groups(spark, pairs) == groups_of([p for p in pairs if p[0] != p[1]])
+    assert run_groups(spark, pairs, heavy) == groups_of([p for p in pairs if p[0] != p[1]])
+
+
+def test_numbers_are_groups_too(spark):
+    df = spark.createDataFrame([(5, 9), (9, 2), (7, 8), (None, 1)], "a long, b long")
+    assert {r["node"]: r["group"] for r in components.hash_to_min(df).collect()} == {2: 2, 5: 2, 9: 2, 7: 7, 8: 7}
 
 
 def test_long_chain_and_star(spark):
@@ -131,17 +136,49 @@ def brute_spans(rows, least):
     return out
 
 
-@pytest.mark.parametrize("least", [17, 20, 40])
+def brute_longest(rows, least):
+    out = {}
+    rows = [(u, t) for u, t in rows if t]
+    for u, t in rows:
+        best = 0
+        for v, w in rows:
+            before = [0] * (len(w) + 1)
+            for a in t if u != v else "":
+                before = [0, *(before[k] + 1 if a == b else 0 for k, b in enumerate(w))]
+                best = max(best, *before)
+        if best >= least:
+            out[u] = best
+    return out
+
+
+@pytest.mark.parametrize("least", [1, 17, 40])
 def test_shared_spans(spark, least):
     r = random.Random(least)
     common = ["".join(r.choice("abcdefgh一二三") for _ in range(r.randint(10, 130))) for _ in range(6)]
-    rows = [(f"u{k}", "".join(r.choice(common) + "".join(r.choice("xyz") for _ in range(r.randint(0, 30))) for _ in range(r.randint(1, 3)))) for k in range(60)]
-    rows += [("copy1", "𠮷" * 50), ("copy2", "𠮷" * 50), ("none", None), ("empty", "")]
-    df = spark.createDataFrame(rows, "unit_id string, text string")
+    rows = [(f"u{k}", "".join(r.choice(common) + "".join(r.choice("xyz") for _ in range(r.randint(0, 30))) for _ in range(r.randint(1, 3)))) for k in range(30)]
+    rows += [("copy1", "𠮷" * 50), ("copy2", "𠮷" * 50), ("run", "𠮷" * 70), ("none", None), ("empty", "")]
+    df = spark.createDataFrame([*rows, (None, "x" * 60)], "unit_id string, text string")
     got = {x["unit_id"]: x for x in spans.shared_spans(df, least, longest=True).collect()}
     assert {u: x["shared_chars"] for u, x in got.items()} == brute_spans(rows, least)
-    assert got["copy1"]["longest_chars"] == 50
-    assert all(least <= x["longest_chars"] <= x["shared_chars"] for x in got.values())
+    assert {u: x["longest_chars"] for u, x in got.items()} == brute_longest(rows, least)
+
+
+@pytest.mark.parametrize("half,whole", [(1, 1), (3, 7), (20, 40), (20, 41)])
+def test_every_run_has_a_landmark(half, whole):
+    r = random.Random(whole)
+    texts = ["".join(r.choice("ab一") for _ in range(n)) for n in (300, 5, whole, whole - 1, 90)]
+    t = spans.Texts(texts, whole)
+    at = spans.landmarks(t, half, whole)
+    known = set(at.tolist())
+    starts = [b + i for b, x in zip(t.begins, texts) for i in range(len(x) - whole + 1)]
+    assert all(any(s + k in known for k in range(whole - half + 1)) for s in starts)
+    assert spans.around(t, at, half, whole).tolist() == starts
+
+
+def test_hashes_tell_windows_apart():
+    t = spans.Texts(["abcabcabd", "xabcab"], 9)
+    h = {(int(x), int(y)) for x, y in zip(*t.at(np.array([0, 3, 10]), np.array([5, 5, 5])))}
+    assert len(h) == 2 and t.at(np.array([0]), np.array([5]))[0] == t.at(np.array([10]), np.array([5]))[0]
 
 
 def test_spans_of_nothing(spark):

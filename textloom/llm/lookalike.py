@@ -10,15 +10,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.llm.common import checkpoint
+
 # Letters of the Cyrillic and Greek scripts beside the Latin letter that looks the same.
-CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТХҮаеѕіјорсухһԁԛԝԌҺӀԚԜ", "ABESIJKMHOPCTXYaesijopcyxhdqwGhlQW"))
-CYRILLIC.update({"У": "Y", "ԍ": "G", "Һ": "h", "ѵ": "v", "Ѵ": "V", "ӏ": "l", "ү": "y", "г": "r"})
-GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονρυϲϳϹͿ", "ABEZHIKMNOPTYXovpucjCJ"))
-GREEK.update({"α": "a", "ι": "i", "κ": "k", "χ": "x", "γ": "y", "η": "n", "τ": "t"})
-OTHER = {"ı": "i", "ɑ": "a", "ɡ": "g", "ɩ": "i", "օ": "o", "ո": "n", "ս": "u", "հ": "h", "Տ": "S", "Օ": "O", "Ց": "8"}
-for loose in ("г", "α", "ι", "κ", "χ", "γ", "η", "τ", "υ", "Ց"):  # alike in some faces only
-    for scripts in (CYRILLIC, GREEK, OTHER):
-        scripts.pop(loose, None)
+CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТХҮаеѕіјорсухһԁԛԝԌҺӀԚԜУԍѵѴӏү", "ABESIJKMHOPCTXYaesijopcyxhdqwGhlQWYGvVly"))
+GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονρϲϳϹͿ", "ABEZHIKMNOPTYXovpcjCJ"))
+OTHER = dict(zip("ıɑɡɩօոսհՏՕ", "iagionuhSO"))
 # Radicals of the supplement beside the ideograph that looks the same.
 RADICALS = dict(zip("⺁⺄⺅⺇⺈⺋⺎⺏⺐⺓⺔⺘⺙⺛⺝⺟⺠⺡⺢⺤⺥⺧⺩⺫⺬⺭⺮⺯⺲⺶⺷⺹⺺⺻⺼⺽⻁⻂⻃⻄⻅⻆⻈⻉⻊⻋⻌⻎⻏⻐⻑⻒⻓⻔⻕⻖⻗⻘⻙⻚⻛⻜⻝⻟⻠⻡⻢⻣⻤⻥⻦⻧⻨⻩⻪⻫⻬⻭⻮⻯⻰⻱⻳", "厂乙亻几刀㔾兀尣尢幺彑扌攵旡月母民氵氺爫爫牜王罒示礻竹糹罒羊羊耂肀聿月臼虎衤覀西见角讠贝足车辶辶阝钅長镸长门阜阝雨青韦页风飞食飠饣饣马骨鬼鱼鸟卤麦黄黾齐齐齿齿竜龙龟龟"))
 KANGXI = {chr(c): unicodedata.normalize("NFKC", chr(c)) for c in range(0x2F00, 0x2FD6)}
@@ -103,43 +100,54 @@ def _skeletons(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def consistent_form(text: Column) -> Column:
-    """The form of `skeleton` as a column; full-width forms in otherwise simple text are settled without Python.
-
-    Callers split simple and other rows (`is_simple`) and call the two parts apart, so simple rows never reach Python.
-    """
-    return F.pandas_udf(_skeletons, "string")(text)
+    """The form of `skeleton` as a column. Full-width forms in otherwise simple text are settled without Python: the
+    function sees a null in place of such a text, so one scan serves both."""
+    simple = text.rlike(SIMPLE)
+    wide = F.translate(text, "".join(WIDE), "".join(WIDE.values()))
+    return F.when(simple, wide).otherwise(F.pandas_udf(_skeletons, "string")(F.when(~simple, text)))
 
 
-def is_simple(text: Column) -> Column:
-    return text.rlike(SIMPLE)
-
+def consistent_units(units: DataFrame) -> DataFrame:
+    """(unit_id, text, form) for every unit and text; null texts are left out, empty ones stay empty."""
+    rows = units.select("unit_id", "text").filter("unit_id is not null and text is not null")
+    return rows.withColumn("form", consistent_form(F.col("text")))
 
-def simple_form(text: Column) -> Column:
-    return F.translate(text, "".join(WIDE), "".join(WIDE.values()))
 
+def spellings(units: DataFrame) -> DataFrame:
+    """(unit_id, f1, f2, t): units whose form is written in two ways or more; f1, f2 tell the form, t the text.
 
-def consistent_units(units: DataFrame) -> DataFrame:
-    """(unit_id, text, form) for every distinct unit and text; null texts are left out, empty ones stay empty."""
-    rows = units.select("unit_id", "text").filter("unit_id is not null and text is not null")
-    simple = rows.filter(is_simple(F.col("text"))).withColumn("form", simple_form(F.col("text")))
-    other = rows.filter(~is_simple(F.col("text"))).withColumn("form", consistent_form(F.col("text")))
-    return simple.unionAll(other)
+    Only hashes are shuffled (128 bits of the form, 64 of the text within it), never texts; the table is read once.
+    """
+    rows = consistent_units(units).filter("form <> ''").select("unit_id", F.xxhash64("form").alias("f1"), F.xxhash64(F.lit(7), "form").alias("f2"), F.xxhash64("text").alias("t"))
+    rows = checkpoint(rows.distinct())
+    several = rows.groupBy("f1", "f2").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).filter("lo <> hi").select("f1", "f2")
+    return checkpoint(rows.join(several.hint("merge"), ["f1", "f2"], "left_semi"))
 
 
 def lookalike_pairs(units: DataFrame) -> DataFrame:
     """(unit_id_1, unit_id_2): pairs of units whose texts differ in code points but have one consistent form.
 
-    Only hashes are shuffled (128 bits of the form, 64 of the text), never texts. Units with one text form a class, and
-    only forms with two classes or more go on, so copies cost nothing; pairs are made between classes and then members
-    are attached to either side. Repeated rows, nulls and extra columns don't matter.
+    Units with one text form a class; pairs are made between classes and then members are attached to either side, so
+    copies cost nothing. All pairs are what is asked for here; `lookalike_groups` gives one row a unit instead.
+    Repeated rows, nulls and extra columns don't matter.
     """
-    rows = consistent_units(units).filter("form <> ''").select("unit_id", F.xxhash64("form").alias("f1"), F.xxhash64(F.lit(7), "form").alias("f2"), F.xxhash64("text").alias("t"))
-    rows = rows.distinct()
-    several = rows.groupBy("f1", "f2").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).filter("lo <> hi").select("f1", "f2")
-    members = rows.join(several, ["f1", "f2"], "left_semi")
+    members = spellings(units)
     classes = members.select("f1", "f2", "t").distinct()
-    pairs = classes.withColumnRenamed("t", "t1").join(classes.withColumnRenamed("t", "t2"), ["f1", "f2"]).filter("t1 < t2")
-    left = members.select("f1", "f2", F.col("t").alias("t1"), F.col("unit_id").alias("u1"))
-    right = members.select("f1", "f2", F.col("t").alias("t2"), F.col("unit_id").alias("u2"))
+    pairs = classes.withColumnRenamed("t", "t1").join(classes.withColumnRenamed("t", "t2").hint("merge"), ["f1", "f2"]).filter("t1 < t2")
+    left = members.select("f1", "f2", F.col("t").alias("t1"), F.col("unit_id").alias("u1")).hint("merge")
+    right = members.select("f1", "f2", F.col("t").alias("t2"), F.col("unit_id").alias("u2")).hint("merge")
     found = pairs.join(left, ["f1", "f2", "t1"]).join(right, ["f1", "f2", "t2"]).filter("u1 <> u2")
     return found.select(F.least("u1", "u2").alias("unit_id_1"), F.greatest("u1", "u2").alias("unit_id_2")).distinct()
+
+
+def lookalike_groups(units: DataFrame) -> DataFrame:
+    """(unit_id, class_id, group_id, links): a row for each unit and text that looks like a text written otherwise.
+
+    class_id is the smallest unit_id with that very text, group_id the smallest with that look, links the number of
+    units in the group's other classes. Its size is that of the units, however many spellings a form has.
+    """
+    members = spellings(units)
+    classes = members.groupBy("f1", "f2", "t").agg(F.min("unit_id").alias("class_id"), F.count(F.lit(1)).alias("n"))
+    groups = classes.groupBy("f1", "f2").agg(F.min("class_id").alias("group_id"), F.sum("n").alias("total"))
+    of = classes.join(groups.hint("merge"), ["f1", "f2"]).select("f1", "f2", "t", "class_id", "group_id", (F.col("total") - F.col("n")).alias("links"))
+    return members.join(of.hint("merge"), ["f1", "f2", "t"]).select("unit_id", "class_id", "group_id", "links")
