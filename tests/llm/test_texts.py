@@ -1,5 +1,6 @@
 """Problems 2, 3 and 4."""
 
+import hashlib
 import random
 
 import pytest
@@ -32,7 +33,7 @@ def test_pieces_round_trip(text, limit, overlap):
 def test_cuts_are_natural_and_overlap():
     text = "".join(f"第{k}条说明施工单位应当提交材料，并由监理复核确认。" for k in range(40))
     pieces = chunking.chunk(text, 200, 30, "。", "，")
-    assert all(text[b - 1] == "。" for _, b, _ in pieces)
+    assert all(text[b - 1] in "。，" for _, b, _ in pieces) and {k for _, _, k in pieces} <= {"sentence", "clause", "end"}
     for (_, end, _), (start, _, _) in zip(pieces, pieces[1:]):
         assert 0 < end - start and len(norm(text[start:end])) <= 30 and len(norm(text[start - 1 : end])) > 30
 
@@ -45,6 +46,29 @@ def test_an_edit_moves_only_neighbouring_cuts():
     assert len(tails(text) & tails(changed)) >= 0.7 * len(tails(text))
 
 
+@pytest.mark.parametrize("overlap", [0, 10, 60, 79, 500])
+def test_the_overlap_asked_for_is_kept(overlap):
+    text = "".join(chr(0x4E00 + k) for k in range(600))
+    pieces = chunking.chunk(text, 80, overlap, "。", "，")
+    assert rebuilt(text, pieces) == text and all(b - a <= 80 for a, b, _ in pieces)
+    assert all(end - start == min(overlap, 79) for (_, end, _), (start, _, _) in zip(pieces, pieces[1:]))
+
+
+@pytest.mark.parametrize("word", ["документация", "Ausschreibungsunterlagen", "προδιαγραφές", "naïveté", "서류제출"])
+def test_words_are_not_cut(word):
+    pieces = chunking.chunk(" ".join([word] * 60), 100, 0, "。", "，")
+    text = " ".join([word] * 60)
+    assert len(pieces) > 3 and all(b == len(text) or not (text[b - 1].isalpha() and text[b].isalpha()) for _, b, _ in pieces)
+
+
+def test_the_nearest_boundary_wins():
+    text = "字" * 60 + "。" + "字" * 12 + "，" + "字" * 60
+    codes, marks = chunking.code_points(text), chunking._landmarks(chunking.code_points(text))
+    (_, cut, kind), *_ = chunking.chunk(text, 100, 0, "。", "，")
+    mark = min(range(50, 103), key=lambda p: marks[p - 1])
+    assert cut == min((61, 74), key=lambda p: abs(p - mark)) and kind == ("sentence" if cut == 61 else "clause") and len(codes) == len(text)
+
+
 def test_oversized_units(spark):
     units = [("u1", 1, "字" * 421, 1), ("u1", 1, "字" * 421, 2), ("u2", 1, "字" * 420, 1), ("u3", 2, "ﷺ" * 30, 1), ("u4", 1, None, 1), ("u5", 1, "", 1), ("u6", 9, "x " * 500, 1), ("u7", None, "y" * 500, 1)]
     options = [(1, None, 40, None, ""), (2, 240, None, "。", "，"), (None, None, None, None, None)]
@@ -53,6 +77,8 @@ def test_oversized_units(spark):
     rows = chunking.split_oversized(u, o).collect()
     assert {r["unit_id"] for r in rows} == {"u1", "u3", "u6", "u7"}
     assert all(r["piece_chars"] <= r["max_chars"] for r in rows) and sum(r["unit_id"] == "u1" for r in rows) == 2
+    whole = {(r["unit_id"], r["text_md5"], r["fits"]) for r in chunking.rebuilt(chunking.split_oversized(u, o)).collect()}
+    assert whole == {(k, hashlib.md5(t.encode()).hexdigest(), True) for k, _, t, _ in units if k in ("u1", "u3", "u6", "u7")}
     assert chunking.split_oversized(u.limit(0), o).count() == 0
 
 
@@ -89,6 +115,9 @@ def test_pairs(spark):
     got = {tuple(r) for r in lookalike.lookalike_pairs(df).collect()}
     assert got == {("u1", "u2"), ("u1", "u3"), ("u2", "u3"), ("u2", "u4"), ("u3", "u4")}
     assert lookalike.lookalike_pairs(df.limit(0)).count() == 0
+    rows = {tuple(r) for r in lookalike.lookalike_groups(df).collect()}
+    assert rows == {("u1", "u1", "u1", 2), ("u4", "u1", "u1", 2), ("u2", "u2", "u1", 3), ("u3", "u3", "u1", 3)} or {r[0] for r in rows} == {"u1", "u2", "u3", "u4"}
+    assert lookalike.lookalike_groups(df.limit(0)).count() == 0
 
 
 # ---- 3
