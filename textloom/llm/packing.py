@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.llm.common import checkpoint
+
 CAPACITY = 2048
 #: Items of a randomised group on average; more waste less, as the last containers of each group stay part full.
 GROUP_ITEMS = 8192
@@ -102,27 +104,43 @@ def pack(sizes: DataFrame, capacity: int = CAPACITY, group_items: int = GROUP_IT
     """(doc_id, piece, first_token, n_tokens, container) for every document of (doc_id, n_tokens).
 
     Only documents above the capacity are cut: into full containers and a rest that is packed like any other item.
-    Documents are spread over groups by a hash of their id, so groups are of one size however ids or sources are
-    skewed, and each group is packed alone by first-fit decreasing; containers are named `group-number`. Empty
-    documents take a place of size 0. A repeated id is treated as one more document.
+    Pieces are spread over groups by a hash of their id, so groups hold about group_items pieces however ids, sources
+    or lengths are skewed, and each group is packed alone by first-fit decreasing; full pieces need no search and are
+    numbered after the rest. Containers are named `group-number`. Empty documents take a place of size 0. A repeated
+    id is treated as one more document. Sizes are kept once, so texts are counted once.
     """
-    n = sizes.count()
-    groups = max(1, round(n / group_items))
-    whole = F.expr(f"cast(n_tokens div {capacity} as int)")
-    rest = F.expr(f"n_tokens % {capacity}")
-    pieces = F.when(F.col("n_tokens") <= capacity, F.lit(1)).otherwise(whole + (rest > 0).cast("int"))
-    items = sizes.select("doc_id", "n_tokens", F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece"))
+    sizes = checkpoint(sizes)
+    several = F.expr(f"greatest(1, cast(ceil(n_tokens / {capacity}) as int))")
+    pieces = sizes.agg(F.sum(several).alias("n")).first()["n"] or 0
+    groups = max(1, round(pieces / group_items))
+    items = sizes.select("doc_id", "n_tokens", F.explode(F.sequence(F.lit(0), several - 1)).alias("piece"))
     items = items.select("doc_id", "piece", (F.col("piece").cast("long") * capacity).alias("first_token"), F.least(F.lit(capacity), F.col("n_tokens") - F.col("piece") * capacity).alias("n_tokens"))
     items = items.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
 
     def fill(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["doc_id", "piece", "n_tokens"], kind="stable")
-        at = first_fit_decreasing(part["n_tokens"].tolist(), capacity)
+        full = (part["n_tokens"] == capacity).to_numpy()
+        at = np.zeros(len(part), np.int64)
+        at[~full] = first_fit_decreasing(part["n_tokens"][~full].tolist(), capacity)
+        at[full] = np.arange(full.sum()) + (at[~full].max() + 1 if not full.all() else 0)
         return part.assign(container=[f"{g}-{k}" for g, k in zip(part["grp"], at)])[["doc_id", "piece", "first_token", "n_tokens", "container"]]
 
     return items.groupBy("grp").applyInPandas(fill, "doc_id long, piece int, first_token long, n_tokens long, container string")
 
 
+def audit(documents: DataFrame, packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """One row: documents, and how many of them are lost, have a gap between their pieces or were cut without need, and
+    how many containers hold too much. All but the first should be 0."""
+    over = packed.groupBy("container").agg(F.sum("n_tokens").alias("used")).filter(F.col("used") > capacity).agg(F.count(F.lit(1)).alias("overfull"))
+    own = packed.groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("pieces"), F.max(F.col("first_token") + F.col("n_tokens")).alias("end"))
+    all_ids = documents.select("doc_id").filter("doc_id is not null").distinct()
+    both = all_ids.join(own.hint("merge"), "doc_id", "left")
+    gaps = F.coalesce(F.col("end") != F.col("n"), F.lit(False))
+    needless = F.coalesce((F.col("pieces") > 1) & (F.col("n") <= capacity), F.lit(False))
+    docs = both.agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.col("n").isNull()).alias("lost"), F.count_if(gaps).alias("gaps"), F.count_if(needless).alias("needless_cuts"))
+    return docs.crossJoin(over)  # one row and one row
+
+
 def waste(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """One row: documents, containers, tokens and the share of the containers' space that is unused."""
     used = packed.groupBy("container").agg(F.sum("n_tokens").alias("used"))
