@@ -85,17 +85,23 @@ def leak_world(seed):
     return [*docs, (900, None), (901, "")], items
 
 
-@pytest.mark.parametrize("limit", [4_000_000, 0])
-def test_leaks_equal_brute_force(spark, limit):
+@pytest.mark.parametrize("limit,heavy", [(4_000_000, 1), (0, leakage.HEAVY), (0, 3)])
+def test_leaks_equal_brute_force(spark, limit, heavy):
     docs, items = leak_world(5)
     d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    hits = leakage.overlaps(d, i, limit).filter("item_chars > 0 and exact_chars >= 0.4D * item_chars").select("doc_id", "item_id")
+    hits = leakage.overlaps(d, i, limit, heavy).filter("item_chars > 0 and exact_chars >= 0.4D * item_chars").select("doc_id", "item_id")
     assert {tuple(x) for x in hits.collect()} == brute_leaks(docs, items)
     if limit:
         assert {tuple(x) for x in leakage.leaked(d, i).collect()} == brute_leaks(docs, items)
         assert leakage.leaked(d.limit(0), i).count() == 0 and leakage.leaked(d, i.limit(0)).count() == 0
 
 
+def test_both_ways_count_alike(spark):
+    docs, items = leak_world(6)
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {tuple(x) for x in leakage.overlaps(d, i).collect()} == {tuple(x) for x in leakage.overlaps(d, i, 0, 20).collect()}
+
+
 def test_substitutions_are_tolerated(spark):
     r = random.Random(2)
     item = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(300))

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import code_points, mix64, norm
+from textloom.llm.common import checkpoint, code_points, mix64, norm
 
 #: Fixed masks: which of the characters of a window count. Any run of RUN characters holds a window of SPAN that begins
 #: at a multiple of STEP, so one hit a mask is certain for every exact run; with a substitution at a blind place of
@@ -19,6 +20,8 @@ RUN, SPAN, STEP = 25, 18, 8
 MASKS = ("111011010011101111", "110111101001110111")
 #: Item hashes that are sent to all executors at most (8 bytes each); above it they are joined by a shuffle.
 BROADCAST_HASHES = 4_000_000
+#: Rows of one hash in the documents from which it counts as hot.
+HEAVY = 1_000_000
 _BITS = 22
 
 
@@ -56,25 +59,30 @@ def covered(item: np.ndarray, doc: np.ndarray, diagonals: list[int], window: int
 
 
 class Index:
-    """Item hashes: a bitmap in front of sorted arrays, and where each hash stands."""
+    """Item hashes: a bitmap in front of sorted arrays, and where each hash stands. It is sent whole; the bitmap is made
+    where it arrives, once a worker process."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.items = dict(items)
         self.codes = {k: code_points(v).astype(np.uint64) for k, v in items}
-        keys, owner, place = [], [], []
-        for k in self.items:
+        keys, owner, place = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int32)]
+        for k, codes in self.codes.items():
             for m in range(len(MASKS)):
-                h = seed_hashes(self.codes[k], m)
+                h = seed_hashes(codes, m)
                 keys.append(h)
                 owner.append(np.full(len(h), k, np.int64))
                 place.append(np.arange(len(h), dtype=np.int32))
-        self.keys = np.concatenate(keys) if keys else np.empty(0, np.uint64)
-        order = np.argsort(self.keys, kind="stable")
-        self.keys = self.keys[order]
-        self.owner = np.concatenate(owner)[order] if owner else np.empty(0, np.int64)
-        self.place = np.concatenate(place)[order] if place else np.empty(0, np.int32)
-        self.bitmap = np.zeros(1 << _BITS, bool)
-        self.bitmap[(self.keys >> np.uint64(64 - _BITS)).astype(np.int64)] = True
+        keys = np.concatenate(keys)
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.owner, self.place = keys[order], np.concatenate(owner)[order], np.concatenate(place)[order]
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "bitmap"}
+
+    @cached_property
+    def bitmap(self) -> np.ndarray:
+        bits = np.zeros(1 << _BITS, bool)
+        bits[(self.keys >> np.uint64(64 - _BITS)).astype(np.int64)] = True
+        return bits
 
     def diagonals(self, codes: np.ndarray) -> dict[int, list[int]]:
         """For each item with a hit: places in the document less places in the item."""
@@ -104,7 +112,7 @@ COLUMNS = "doc_id long, item_id long, item_chars long, exact_chars long, toleran
 
 def _scan(shared):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = Index(shared.value)
+        index = shared.value
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"]):
@@ -117,51 +125,80 @@ def _scan(shared):
 
 
 def _hashes(id_column: str, step: int):
+    """(id, key, place): the seed hashes of a text; of a hash that a text holds several times each place counts."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            ids, keys = [], []
+            ids, keys, at, n = [], [], [], 0
             for k, text in zip(batch[id_column], batch["text"]):
                 codes = code_points(norm(text)).astype(np.uint64)
-                h = np.unique(np.concatenate([seed_hashes(codes, m, step) for m in range(len(MASKS))]))
-                ids.append(np.full(len(h), k, np.int64))
-                keys.append(h.view(np.int64))
+                h = [seed_hashes(codes, m, step) for m in range(len(MASKS))]
+                at += [np.arange(len(x), dtype=np.int32) * step for x in h]
+                keys += h
+                ids.append(np.full(sum(map(len, h)), k, np.int64))
+                n += len(ids[-1])
+                if n > 200_000:
+                    yield pd.DataFrame({id_column: np.concatenate(ids), "key": np.concatenate(keys).view(np.int64), "place": np.concatenate(at)})
+                    ids, keys, at, n = [], [], [], 0
             if ids:
-                yield pd.DataFrame({id_column: np.concatenate(ids), "key": np.concatenate(keys)})
+                yield pd.DataFrame({id_column: np.concatenate(ids), "key": np.concatenate(keys).view(np.int64), "place": np.concatenate(at)})
 
     return run
 
 
 def _pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows come in order of documents, so a document's text is settled once for all its items."""
+    last, codes = None, np.empty(0, np.uint64)
     for batch in batches:
         rows = []
-        for doc_id, item_id, text, item in zip(batch["doc_id"], batch["item_id"], batch["text"], batch["item"]):
-            index = Index([(item_id, norm(item))])
-            codes = code_points(norm(text)).astype(np.uint64)
-            for k, d in index.diagonals(codes).items():
-                rows.append((doc_id, k, len(index.codes[k]), *covered(index.codes[k], codes, d)))
+        for doc_id, item_id, text, item, diagonals in zip(*(batch[c] for c in ("doc_id", "item_id", "text", "item", "diagonals"))):
+            if doc_id != last:
+                last, codes = doc_id, code_points(norm(text)).astype(np.uint64)
+            held = code_points(norm(item)).astype(np.uint64)
+            rows.append((doc_id, item_id, len(held), *covered(held, codes, diagonals.tolist())))
         yield pd.DataFrame(rows, columns=[c.split()[0] for c in COLUMNS.split(", ")])
 
 
-def overlaps(documents: DataFrame, items: DataFrame, broadcast_hashes: int = BROADCAST_HASHES) -> DataFrame:
+def met(left: DataFrame, right: DataFrame, heavy: int = HEAVY) -> DataFrame:
+    """(doc_id, item_id, diagonals): hashes of documents (doc_id, key, place) joined with those of items on the key.
+
+    Hashes that no item has are dropped first. A key that documents hold more than `heavy` times is hot: its rows are
+    spread over as many salts as it takes, and the items' rows of it are repeated for each salt. Keys that are hot
+    number rows / heavy at most.
+    """
+    docs = checkpoint(left.join(right.select("key").distinct().hint("merge"), "key", "left_semi"))
+    # the salts a key needs, from a count that combines map-side; one for all but hot keys
+    salts = docs.groupBy("key").agg(F.count(F.lit(1)).alias("n")).select("key", F.ceil(F.col("n") / heavy).cast("int").alias("salts"))
+    held = right.join(salts.hint("merge"), "key")
+    cold = held.filter("salts = 1").select("key", "item_id", F.col("place").alias("at"))
+    hot = held.filter("salts > 1").select("key", "item_id", F.col("place").alias("at"), "salts", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    few = F.broadcast(salts.filter("salts > 1"))
+    light = docs.join(few, "key", "left_anti").join(cold.hint("merge"), "key").select("doc_id", "item_id", (F.col("place") - F.col("at")).alias("d"))
+    spread = docs.join(few, "key").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int"))
+    heavy_hits = spread.join(hot.drop("salts").hint("merge"), ["key", "salt"]).select("doc_id", "item_id", (F.col("place") - F.col("at")).alias("d"))
+    return light.unionAll(heavy_hits).groupBy("doc_id", "item_id").agg(F.collect_set("d").alias("diagonals"))
+
+
+def overlaps(documents: DataFrame, items: DataFrame, broadcast_hashes: int = BROADCAST_HASHES, heavy: int = HEAVY) -> DataFrame:
     """(doc_id, item_id, item_chars, exact_chars, tolerant_chars) for every document and item with a spaced-seed hit.
 
     exact_chars counts the item's characters in runs of 25 or more that stand in the document - whole, as every such
     run has a hit - and tolerant_chars those in windows around the hits with up to three substitutions in 25. The
     number of item hashes is counted first: up to `broadcast_hashes` they go to every executor and documents are
-    read once, without a shuffle; beyond it hashes of both sides are joined by a shuffle, items' texts after that.
-    Null and short texts have no hits; ids are expected to be unique; null ids are left out.
+    read once, without a shuffle; beyond it hashes of both sides are joined by a shuffle (see `met`), and texts meet
+    only where they share a hash. Both ways give the same rows. Null and short texts have no hits; ids are expected to
+    be unique; null ids are left out.
     """
     docs = documents.select("doc_id", "text").filter("doc_id is not null and text is not null")
     held = items.select("item_id", "text").filter("item_id is not null and text is not null")
     size = held.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     if size * len(MASKS) <= broadcast_hashes:
-        shared = documents.sparkSession.sparkContext.broadcast([(r["item_id"], norm(r["text"])) for r in held.collect()])
-        return docs.mapInPandas(_scan(shared), COLUMNS)
-    left = docs.mapInPandas(_hashes("doc_id", STEP), "doc_id long, key long")
-    right = held.mapInPandas(_hashes("item_id", 1), "item_id long, key long")
-    hits = left.join(right, "key").select("doc_id", "item_id").distinct()
-    both = hits.join(held.withColumnRenamed("text", "item"), "item_id").join(docs, "doc_id")
-    return both.mapInPandas(_pairs, COLUMNS)
+        index = Index([(r["item_id"], norm(r["text"])) for r in held.collect()])
+        return docs.mapInPandas(_scan(documents.sparkSession.sparkContext.broadcast(index)), COLUMNS)
+    left = docs.mapInPandas(_hashes("doc_id", STEP), "doc_id long, key long, place int")
+    right = checkpoint(held.mapInPandas(_hashes("item_id", 1), "item_id long, key long, place int"))
+    hits = met(left, right, heavy).join(held.withColumnRenamed("text", "item").hint("merge"), "item_id")
+    return hits.join(docs.hint("merge"), "doc_id").mapInPandas(_pairs, COLUMNS)
 
 
 def leaked(documents: DataFrame, items: DataFrame, share: float = 0.4) -> DataFrame:
