@@ -33,6 +33,11 @@ def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pieces(spark, sf_dir)
 
 
+def p2_rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts that their pieces make again, and whether the pieces keep to the limit."""
+    return chunking.rebuilt(_pieces(spark, sf_dir))
+
+
 def _scans(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return table(spark, sf_dir, "text_units"), table(spark, sf_dir, "bid_files")
 
@@ -54,6 +59,10 @@ def p4_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.consistent_units(table(spark, sf_dir, "text_units")).filter("form <> text").distinct()
 
 
+def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalike.lookalike_groups(table(spark, sf_dir, "text_units"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.found(table(spark, sf_dir, "similarity_matches"))
 
@@ -78,6 +87,10 @@ def p7_waste(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.waste(p7_packing(spark, sf_dir))
 
 
+def p7_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.audit(table(spark, sf_dir, "documents"), p7_packing(spark, sf_dir))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
