@@ -115,7 +115,7 @@ def test_markdown_cleanup_and_plain_text():
     raw = "# 标题 #\n\n**粗** _斜_ ~~删~~ `code`\n- 项\n1. 条\n> 引\n| a | b |\n|---|---|\n[链](http://x)\n<b>t</b>\n```\nx\n```\n"
     assert [" ".join(b.split()) for b in markdown.markdown_blocks(raw)] == ["标题", "粗 斜 删", "项", "条", "引", "a b", "链", "t"]
     assert markdown.text_blocks("# 保留\r\n**x**") == ["# 保留", "**x**"]
-    assert markdown.image_targets("![a](<x%20y.png>) ![b](http://h/i.png) ![c](d.png \"t\")") == ["x y.png", "d.png"]
+    assert markdown.image_targets("![a](<x%20y.png>) ![b](http://h/i.png) ![c](d.png \"t\")") == [(1, "x y.png"), (3, "d.png")]
     assert markdown.decode("中文".encode("gb18030")) == "中文" and markdown.decode(b"\xef\xbb\xbfa\r\nb") == "a\nb"
 
 
@@ -137,7 +137,7 @@ def test_legacy_conversion(tmp_path):
     write_docx(tmp_path / "x.docx", ["正文"])
     content = (tmp_path / "x.docx").read_bytes()
     blocks, meta, _ = files.parse(b"old", "/p/旧.doc", Options(), convert=lambda *a: content)
-    assert blocks == ["正文"] and meta["converted_from"] == "doc"
+    assert blocks == ["正文"] and meta["converted_from"] == ".doc"
     with pytest.raises(legacy.ConversionError):
         legacy.convert(b"x", "a.doc", soffice=str(tmp_path / "none"))
 

@@ -20,6 +20,8 @@ PRESET_PATTERNS = {
     "email": ("邮箱地址", r"(?<![A-Za-z0-9_.+-])(?![A-Za-z0-9_.+-]*\.\.)[A-Za-z0-9_.+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+(?![A-Za-z0-9_.+-])"),
     "china_address": ("地址", r"(?:北京市|上海市|天津市|重庆市|[一-龥]+省)(?:[一-龥]+市)?(?:[一-龥]+(?:区|县))(?:[一-龥]+(?:街道|路|巷|镇|乡))(?:[一-龥0-9]+号)(?:[一-龥0-9]+单元)?(?:[一-龥0-9]+室)?"),
 }
+#: What a text must hold for a preset to match at all, in the JVM's dialect.
+HINTS = {"china_mobile": r"1\p{Nd}{10}", "china_id_card": r"\p{Nd}{17}[\p{Nd}Xx]", "email": "@", "china_address": "号"}
 WINDOW = 50
 HITS = "rule_no int, keyword string, is_regex boolean, pattern string, hit_no int, location string, snippet string, matched_text string, canonical string"
 
@@ -37,13 +39,15 @@ def rules(keywords=(), regex_keywords=(), presets: dict[str, bool] | None = None
     wanted += [Rule(p, p, True) for p in (x.removeprefix("re:") for x in regex_keywords)]
     wanted += [Rule(f"{PRESET_PATTERNS[k][0]}（预设）", PRESET_PATTERNS[k][1], True) for k in PRESETS if (presets or {}).get(k, presets is None)]
     good, errors = [], []
-    for rule in {(r.pattern, r.is_regex): r for r in reversed(wanted)}.values():
+    first: dict[tuple[str, bool], Rule] = {}
+    for rule in wanted:
+        first.setdefault((rule.pattern, rule.is_regex), rule)
+    for rule in first.values():
         try:
             re.compile(rule.pattern, re.IGNORECASE)
             good.append(rule)
         except re.error as e:
             errors.append(f"{rule.keyword}: {e}")
-    good.sort(key=wanted.index)
     return good, errors
 
 
@@ -74,11 +78,19 @@ def full_text(blocks: Column | str = "blocks") -> Column:
     return F.array_join(blocks, "\n")
 
 
+def possible(text: Column, wanted: list[Rule]) -> Column:
+    """Whether any rule can match, natively: words as they are, presets by their hint. Own patterns are in Python's
+    dialect, so with one of them every text is possible."""
+    known = {PRESET_PATTERNS[k][1]: hint for k, hint in HINTS.items()}
+    hints = [known.get(r.pattern) if r.is_regex else "\\Q" + r.keyword.replace("\\E", "\\E\\\\E\\Q") + "\\E" for r in wanted]
+    return F.lit(True) if None in hints else text.rlike("(?iu)" + "|".join(hints)) if hints else F.lit(False)
+
+
 def find_hits(texts: DataFrame, wanted: list[Rule], keep: list[str]) -> DataFrame:
     """One row per match of a rule in `text`, with the columns of `keep`.
 
     Matching ignores case, runs left to right without overlaps over the raw text. Every match takes a number; those
-    of white space only give no row. A word's canonical value is the word case-folded, a pattern's what it matched.
+    of white space only give no row. Texts that no rule can match never leave the JVM. A word's canonical value is the word case-folded, a pattern's what it matched.
     """
     types = {f.name: f.dataType.simpleString() for f in texts.schema.fields}
     columns = [*keep, *(c.split()[0] for c in HITS.split(", "))]
@@ -95,7 +107,7 @@ def find_hits(texts: DataFrame, wanted: list[Rule], keep: list[str]) -> DataFram
                             out.append((*held, k, rule.keyword, rule.is_regex, rule.pattern, n, f"命中{n}", context(text, *m.span()), m[0], m[0] if rule.is_regex else rule.keyword.casefold()))
             yield pd.DataFrame(out, columns=columns)
 
-    return texts.select(*keep, "text").mapInPandas(run, ", ".join([*(f"`{k}` {types[k]}" for k in keep), HITS]))
+    return texts.select(*keep, "text").filter(possible(F.col("text"), wanted)).mapInPandas(run, ", ".join([*(f"`{k}` {types[k]}" for k in keep), HITS]))
 
 
 def shared_values(hits: DataFrame, keys: list[str], value: str = "canonical", order: str = "ord") -> DataFrame:

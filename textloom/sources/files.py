@@ -36,8 +36,8 @@ def _picture(image_id: str, source: str, content: bytes) -> dict:
 def _markdown_pictures(raw: str, path: str) -> list[dict]:
     """Pictures a markdown file shows, relative to it; missing ones are skipped."""
     out, name = [], os.path.basename(path)
-    for k, target in enumerate(markdown.image_targets(raw), start=1):
-        place = Path(target) if os.path.isabs(target) else Path(path).parent / target
+    for k, target in markdown.image_targets(raw):
+        place = (Path(path).parent / target).resolve()
         if place.is_file():
             out.append(_picture(f"{name}:md-image{k}", str(place), place.read_bytes()))
     return out
@@ -49,7 +49,7 @@ def parse(content: bytes, path: str, options: Options, provider: pdf.Provider |
     meta: dict[str, str] = {}
     if suffix in (".doc", ".wps"):
         content = convert(content, name, options.soffice_path, options.legacy_conversion_timeout)
-        meta = {"converted_from": suffix.lstrip("."), "converted_via": "soffice"}
+        meta = {"converted_from": suffix, "converted_via": "docx"}
         suffix = ".docx"
     if suffix == ".docx":
         blocks, found, images = docx.read(content, name)
@@ -107,3 +107,18 @@ def image_table(documents: DataFrame) -> DataFrame:
     """One row per picture, with a unique `ord` in reading order."""
     rows = documents.select("doc_id", "group_name", "file_path", "file_name", F.posexplode("images").alias("_k", "i"))
     return rows.select("doc_id", "group_name", "file_path", "file_name", "i.*", F.format_string("%019d/%06d", "doc_id", "_k").alias("ord"))
+
+
+def _parse(paths: pd.Series, contents: pd.Series) -> pd.DataFrame:
+    out = []
+    for path, content in zip(paths, contents):
+        try:
+            blocks, meta, _ = parse(bytes(content), path, Options())
+            out.append((blocks, meta, None))
+        except Exception as e:
+            out.append(([], {}, f"{type(e).__name__}: {e}"))
+    return pd.DataFrame(out, columns=["blocks", "metadata", "error"])
+
+
+#: parse_document(path, content): blocks and metadata by the suffix of the path, or the error.
+parse_document = F.pandas_udf(_parse, T.StructType([T.StructField("blocks", T.ArrayType(T.StringType())), T.StructField("metadata", T.MapType(T.StringType(), T.StringType())), T.StructField("error", T.StringType())]))

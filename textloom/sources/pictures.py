@@ -7,6 +7,8 @@ import struct
 import zlib
 
 import numpy as np
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 
 def _png(content: bytes) -> np.ndarray:
@@ -52,6 +54,19 @@ def _png(content: bytes) -> np.ndarray:
     return pixels[..., :3] if k >= 3 else np.repeat(pixels[..., :1], 3, axis=2)
 
 
+def _bmp(content: bytes) -> np.ndarray:
+    at, head, width, height, _, depth, packed = struct.unpack("<IIiiHHI", content[10:34])
+    if depth not in (8, 24, 32) or packed not in (0, 3 if depth == 32 else 0):
+        raise ValueError("unsupported BMP")
+    stride = (width * depth // 8 + 3) // 4 * 4
+    rows = np.frombuffer(content[at : at + stride * abs(height)], np.uint8).reshape(abs(height), stride)[:, : width * depth // 8]
+    if depth == 8:
+        palette = np.frombuffer(content[14 + head : at], np.uint8).reshape(-1, 4)
+        rows = palette[rows]
+    rgb = rows.reshape(abs(height), width, -1)[..., 2::-1]
+    return rgb[::-1] if height > 0 else rgb
+
+
 def pixels(content: bytes) -> np.ndarray:
     """(height, width, 3) in RGB."""
     if content[:8] == b"\x89PNG\r\n\x1a\n":
@@ -59,6 +74,11 @@ def pixels(content: bytes) -> np.ndarray:
             return _png(content)
         except ValueError:
             pass
+    if content[:2] == b"BM":
+        try:
+            return _bmp(content)
+        except ValueError:
+            pass
     import io
 
     from PIL import Image
@@ -90,3 +110,6 @@ def describe(content: bytes) -> dict:
     except Exception:  # any failure leaves the picture undecoded
         pass
     return out
+
+
+ahash64 = pandas_udf(lambda s: s.map(lambda c: describe(bytes(c))["ahash"] if c is not None else None), StringType())
