@@ -145,21 +145,29 @@ seq_ratio = pandas_udf(_seq_ratio, DoubleType())
 
 
 def _score(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """0.62 of the sequence ratio and 0.38 of Jaccard; what its upper bounds rule out scores -1."""
+    """0.62 of the sequence ratio and 0.38 of Jaccard; what its upper bounds rule out scores -1.
+
+    Texts repeat, so what a pair of texts scored is kept (up to a bound), as is the index of the right text.
+    """
+    m, last = difflib.SequenceMatcher(None, autojunk=False), None
+    seen: dict[tuple[str, str, float], float] = {}
     for left, right, jaccard, threshold in batches:
         out = []
         for a, b, j, t in zip(left, right, jaccard, threshold):
-            if not a or not b:
-                out.append(0.0)
-                continue
-            if a == b:
-                out.append(1.0)
+            if not a or not b or a == b:
+                out.append(1.0 if a and a == b else 0.0)
                 continue
-            m = difflib.SequenceMatcher(None, a, b, autojunk=False)
-            if 0.62 * m.real_quick_ratio() + 0.38 * j < t - 1e-9 or 0.62 * m.quick_ratio() + 0.38 * j < t - 1e-9:
-                out.append(-1.0)
-            else:
-                out.append(0.62 * m.ratio() + 0.38 * j)
+            got = seen.get((a, b, t))
+            if got is None:
+                if b != last:
+                    m.set_seq2(b)
+                    last = b
+                m.set_seq1(a)
+                likely = 0.62 * m.real_quick_ratio() + 0.38 * j >= t - 1e-9 and 0.62 * m.quick_ratio() + 0.38 * j >= t - 1e-9
+                if len(seen) > 50_000:
+                    seen.clear()
+                got = seen[a, b, t] = 0.62 * m.ratio() + 0.38 * j if likely else -1.0
+            out.append(got)
         yield pd.Series(out, dtype="float64")
 
 
@@ -205,5 +213,10 @@ def register(spark: SparkSession) -> None:
     for name, f in {"nfkc": nfkc, "clean_text": clean_text, "casefold_key": casefold_key, "norm_text": norm_text, "seq_ratio": seq_ratio, "sim_score": sim_score, "highlight_common": highlight_common}.items():
         spark.udf.register(name, f)
     from textloom.operators.keywords import finditer_function
+    from textloom.operators.segment import split_units
+    from textloom.sources.files import parse_document
+    from textloom.sources.pictures import ahash64
 
     spark.udtf.register("finditer", finditer_function())
+    for name, f in {"split_units": split_units, "parse_document": parse_document, "ahash64": ahash64}.items():
+        spark.udf.register(name, f)

@@ -27,22 +27,33 @@ def gram_frequency(units: DataFrame, keys: list[str]) -> DataFrame:
     return units.select(*keys, F.explode("ngrams").alias("gram")).groupBy(*keys, "gram").agg(F.count(F.lit(1)).alias("df"))
 
 
+def gram_pairs(units: DataFrame, keys: list[str], max_postings: int) -> DataFrame:
+    """(pos_a, pos_b, s = 1) for each n-gram of a pair, pos_a < pos_b.
+
+    Grams are counted first, with map-side combining, and those above max_postings are left out before anything is
+    gathered; of the rest the positions are one short list each, from which pairs are made in place. Without a bound
+    (0) postings are joined with themselves, so that no list grows with the data.
+    """
+    postings = units.select(*keys, "pos", F.explode("ngrams").alias("gram"))
+    by = [*keys, "gram"]
+    if not max_postings:
+        a, b = (postings.select(*by, F.col("pos").alias(f"pos_{s}")) for s in "ab")
+        return a.join(b.hint("merge"), by).filter("pos_a < pos_b").select("pos_a", "pos_b", F.lit(1).cast("long").alias("s"))
+    held = postings.groupBy(*by).agg(F.count(F.lit(1)).alias("df")).filter(F.col("df").between(2, max_postings)).drop("df")
+    lists = postings.join(held.hint("merge"), by, "left_semi").groupBy(*by).agg(F.array_sort(F.collect_list("pos")).alias("p"))
+    first = lists.select("p", F.posexplode("p").alias("i", "pos_a"))
+    return first.select("pos_a", F.explode(F.slice("p", F.col("i") + 2, F.size("p"))).alias("pos_b"), F.lit(1).cast("long").alias("s"))
+
+
 def candidates(units: DataFrame, keys: list[str], max_postings: int = 300, top: int = 200) -> DataFrame:
     """(pos_a, pos_b, shared): pairs pos_a < pos_b inside `keys` that share n-grams or the whole form.
 
-    units: keys, pos (unique in the table), normalized, ngrams (distinct). Grams with more than max_postings units are
-    left out (0: none is), which also bounds the pairs of a gram; units with one form count max(grams, 1) on top. Of
-    each pos_a the `top` pairs by shared, then pos_b are kept (0: all) - before any other filter, so pairs inside a
-    group use up places, as documented.
+    units: keys, pos (unique in the table), normalized, ngrams (distinct); read three times, so callers keep it. Grams
+    with more than max_postings units are left out (0: none is), which also bounds the pairs of a gram; units with one
+    form count max(grams, 1) on top. Of each pos_a the `top` pairs by shared, then pos_b are kept (0: all) - before any
+    other filter, so pairs inside a group use up places, as documented.
     """
-    postings = units.select(*keys, "pos", F.explode("ngrams").alias("gram"))
-    if max_postings:
-        held = postings.groupBy(*keys, "gram").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df").between(2, max_postings))
-        postings = postings.join(held.drop("df"), [*keys, "gram"], "left_semi")
-    a = postings.select(*keys, "gram", F.col("pos").alias("pos_a"))
-    b = postings.select(*keys, "gram", F.col("pos").alias("pos_b"))
-    by_gram = a.join(b, [*keys, "gram"]).filter("pos_a < pos_b").select("pos_a", "pos_b", F.lit(1).cast("long").alias("s"))
-    shared = by_gram.unionAll(exact_pairs(units, keys, top)).groupBy("pos_a", "pos_b").agg(F.sum("s").alias("shared"))
+    shared = gram_pairs(units, keys, max_postings).unionAll(exact_pairs(units, keys, top)).groupBy("pos_a", "pos_b").agg(F.sum("s").alias("shared"))
     if not top:
         return shared
     rank = F.row_number().over(Window.partitionBy("pos_a").orderBy(F.desc("shared"), "pos_b"))
@@ -70,6 +81,15 @@ def exact_pairs(units: DataFrame, keys: list[str], top: int = 0) -> DataFrame:
     return a.join(b, [*by, "block"]).filter((F.col("rb") > F.col("ra")) & (F.col("rb") <= F.col("ra") + top)).select("pos_a", "pos_b", "s")
 
 
+def recalled(near: DataFrame, units: DataFrame) -> DataFrame:
+    """Candidates (pos_a, pos_b, shared) of different groups that pass the recall filters, by numbers alone: no text and
+    no list of n-grams moves before a pair has passed."""
+    size = units.select("pos", "group_index", F.size("ngrams").alias("n"), F.length("normalized").alias("l"))
+    for s in "ab":
+        near = near.join(size.select(F.col("pos").alias(f"pos_{s}"), F.col("group_index").alias(f"_g{s}"), F.col("n").alias(f"_n{s}"), F.col("l").alias(f"_l{s}")), f"pos_{s}")
+    return near.filter("_ga <> _gb").filter(recall_filter("_na", "_nb", "_la", "_lb")).select("pos_a", "pos_b", "shared")
+
+
 def recall_filter(n_a: str, n_b: str, len_a: str, len_b: str, shared: str = "shared"):
     """Length ratio and least number of shared n-grams (floor of a share of the smaller side, two at least)."""
     ratio = F.least(len_a, len_b) / F.greatest(len_a, len_b) >= LENGTH_FLOOR

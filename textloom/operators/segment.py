@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 from pyspark.sql.window import Window
 
 from textloom.config import SENTENCE, SOFT, Options
@@ -114,6 +115,14 @@ def split_blocks(documents: DataFrame, keep: list[str], options: Options = Optio
     return units.withColumn("location", F.format_string("段%d.%d", "block_no", "part_no"))
 
 
+def _split_units(blocks: pd.Series, limits: pd.Series, sentence: pd.Series, soft: pd.Series) -> pd.Series:
+    return pd.Series([block_units(b or "", int(m) if pd.notna(m) else Options().max_unit_chars, s or SENTENCE, w or SOFT) for b, m, s, w in zip(blocks, limits, sentence, soft)])
+
+
+#: split_units(block, max_unit_chars, sentence_delimiters, soft_delimiters); nulls stand for the defaults.
+split_units = F.pandas_udf(_split_units, ArrayType(StringType()))
+
+
 def build_units(documents: DataFrame, options: Options = Options()) -> DataFrame:
     """The units table of documents (doc_id, group_index, group_name, file_path, file_name, blocks): text, comparison
     form, counts, comparability, n-grams, id and reading position."""

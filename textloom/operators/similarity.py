@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textloom.functions.text import score_above
-from textloom.operators.ngrams import LENGTH_FLOOR, candidates, recall_filter
+from textloom.operators.ngrams import LENGTH_FLOOR, candidates, number_units, recalled
 
 EXCLUDE_LIMIT = 80
 _SIDE = ["unit_id", "group_index", "group_name", "file_path", "file_name", "location", "text", "normalized", "ngrams"]
@@ -45,10 +45,8 @@ def text_matches(units: DataFrame, keys: list[str], threshold: float = 0.78, max
     overrides the argument row by row.
     """
     able = units.filter("comparable and normalized <> ''")
-    near = candidates(able, keys, max_postings, top)
-    found = near.join(_side(able, keys, "a"), "pos_a").join(_side(able, keys, "b"), "pos_b").filter("group_index_a <> group_index_b")
-    found = found.withColumn("_na", F.size("ngrams_a")).withColumn("_nb", F.size("ngrams_b")).withColumn("_la", F.length("normalized_a")).withColumn("_lb", F.length("normalized_b"))
-    found = found.filter(recall_filter("_na", "_nb", "_la", "_lb")).drop("_na", "_nb", "_la", "_lb")
+    near = recalled(candidates(able, keys, max_postings, top), able)
+    found = near.join(_side(able, keys, "a"), "pos_a").join(_side(able, keys, "b"), "pos_b")
     return score_pairs(found, F.col("threshold") if "threshold" in units.columns else threshold)
 
 
@@ -95,10 +93,14 @@ def with_exclusion(matches: DataFrame, units: DataFrame, excludes: DataFrame, ke
     return flag_excluded(matches, best_excludes(needed, excludes, keys, threshold, max_postings))
 
 
-def number_matches(matches: DataFrame) -> DataFrame:
-    """match_id in order of discovery (pos_a, then shared, then pos_b)."""
-    order = Window.orderBy("pos_a", F.desc("shared"), "pos_b")
-    return matches.withColumn("match_id", F.format_string("M%05d", F.row_number().over(order)))
+def number_matches(matches: DataFrame, block: int = 10_000) -> DataFrame:
+    """match_id in order of discovery (pos_a, then shared, then pos_b).
+
+    Only ids are numbered, in blocks of positions whose counts are summed up, so no task sorts all matches.
+    """
+    ids = matches.select("pos_a", "pos_b", "shared", F.floor(F.col("pos_a") / block).alias("_block"))
+    numbered = number_units(ids, ["_block"], ["pos_a", F.desc("shared"), "pos_b"])
+    return matches.join(numbered.select("pos_a", "pos_b", F.format_string("M%05d", F.col("pos")).alias("match_id")), ["pos_a", "pos_b"])
 
 
 def display_order(matches: DataFrame) -> DataFrame:
