@@ -33,29 +33,36 @@ def exact_image_pairs(images: DataFrame, keys: list[str]) -> DataFrame:
 def near_hashes(rows: DataFrame, keys: list[str], distance: int, bits: str = "bits", ident: str = "ord") -> DataFrame:
     """(keys, a, b, distance): pairs a < b of 64-bit hashes that differ in `distance` bits or fewer.
 
-    Pigeonhole: the bits are cut into distance + 1 bands (up to 32); two near hashes agree on one band at least, so an
-    equi-join on (band, its bits) finds them all, without comparing all pairs. Equal hashes are first collapsed,
-    and a pair is taken in the first band that it agrees on, so nothing has to be made distinct.
+    The bits are cut into as few bands as leave two near hashes at most two bits apart in one of them. Each hash emits
+    the ball of radius one around every band, so such bands meet half way, in an equi-join on wide keys: 3 bands of 21
+    bits for a distance of 6. Equal hashes are first collapsed; a pair is taken in the first band that is near, at one
+    of the points where its balls meet, so nothing has to be made distinct.
     """
     distance = max(0, min(64, distance))
-    n = min(distance + 1, 64)
+    n = -(-(distance + 1) // 3)
     cuts = [(64 * k // n, 64 * (k + 1) // n) for k in range(n)]
     hashes = rows.select(*keys, bits).distinct()
 
     def part(col, k):
         lo, hi = cuts[k]
-        width = hi - lo
         moved = F.shiftrightunsigned(col, lo)
-        return moved if width == 64 else moved.bitwiseAND(F.lit((1 << width) - 1))
+        return moved if hi - lo == 64 else moved.bitwiseAND(F.lit((1 << hi - lo) - 1))
 
-    banded = hashes.select(*keys, bits, F.posexplode(F.array(*(part(F.col(bits), k) for k in range(n)))).alias("band", "value"))
-    a, b = banded.withColumnRenamed(bits, "ha"), banded.withColumnRenamed(bits, "hb")
-    met = a.join(b, [*keys, "band", "value"]).filter("ha <= hb")
-    first = F.lit(n)
+    def ball(k):
+        flips = [0, *(1 << i if i < 63 else -(1 << 63) for i in range(cuts[k][1] - cuts[k][0]))]
+        return F.array(*(F.struct(F.lit(k).alias("band"), part(F.col(bits), k).bitwiseXOR(F.lit(f).cast("long")).alias("value"), F.lit(f).cast("long").alias("flip")) for f in flips))
+
+    balls = hashes.select(*keys, bits, F.explode(F.concat(*(ball(k) for k in range(n)))).alias("e")).select(*keys, bits, "e.*")
+    a, b = balls.withColumnRenamed(bits, "ha"), balls.drop("flip").withColumnRenamed(bits, "hb")
+    met = a.join(b.hint("merge"), [*keys, "band", "value"]).filter("ha <= hb")
+    gap = F.col("ha").bitwiseXOR(F.col("hb"))
+    first, here = F.lit(n), part(gap, 0)
     for k in reversed(range(n)):
-        first = F.when(part(F.col("ha"), k) == part(F.col("hb"), k), k).otherwise(first)
-    gap = F.bit_count(F.col("ha").bitwiseXOR(F.col("hb")))
-    met = met.filter(first == F.col("band")).withColumn("distance", gap).filter(F.col("distance") <= distance).select(*keys, "ha", "hb", "distance")
+        first = F.when(F.bit_count(part(gap, k)) <= 2, k).otherwise(first)
+        here = F.when(F.col("band") == k, part(gap, k)).otherwise(here)
+    # bands two bits apart meet at either bit, nearer ones at the left band itself among others
+    at = F.when(F.bit_count(here) <= 1, F.lit(0).cast("long")).otherwise(here.bitwiseAND(F.bitwise_not(here - F.lit(1))))
+    met = met.filter((first == F.col("band")) & (F.col("flip") == at)).withColumn("distance", F.bit_count(gap)).filter(F.col("distance") <= distance).select(*keys, "ha", "hb", "distance")
     left = rows.select(*keys, F.col(bits).alias("ha"), F.col(ident).alias("x"))
     right = rows.select(*keys, F.col(bits).alias("hb"), F.col(ident).alias("y"))
     pairs = met.join(left, [*keys, "ha"]).join(right, [*keys, "hb"]).filter("ha < hb or x < y")
