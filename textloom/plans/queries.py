@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.functions.text import comparable, compare_form, has_han, highlight_common, latin_words, nfkc, ngrams, shorten, unit_id, visible_chars
+from textloom.functions.text import comparable, compare_form, has_han, highlight_common, latin_words, ngrams, shorten, unit_id, visible_chars
 from textloom.functions.session import checkpoint
 from textloom.operators import images as img
 from textloom.operators import keywords as kw
@@ -13,7 +13,7 @@ from textloom.operators import metadata as meta
 from textloom.operators import ngrams as ng
 from textloom.operators import segment, similarity, summary
 from textloom.plans import tables as t
-from textloom.sources.markdown import strip_markdown
+from textloom.sources.markdown import strip_markdown, text_blocks
 
 CASE = ["case_id"]
 KEYWORDS = ("光模块", "热力管", "Beacon", "guardrail")
@@ -43,7 +43,9 @@ def document_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unit_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the text under NFKC, as a run has it after cleaning."""
     u = t.table(spark, sf_dir, "text_units").select("unit_id", "pos", "loaded_at", "text").distinct()
+    u = u.withColumn("text", t.nfkc_text(F.col("text")))
     form = compare_form(F.col("text"))
     return u.select("unit_id", "pos", F.date_format("loaded_at", "yyyy-MM-dd HH:mm:ss").alias("loaded"), form.alias("form"), visible_chars(F.col("text")).cast("long").alias("chars"), latin_words(F.col("text")).cast("long").alias("words"), has_han(F.col("text")).alias("han"), comparable(F.col("text"), 10, 8).alias("able"))
 
@@ -53,6 +55,20 @@ def unit_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.select("file_path", "location", "pos", unit_id(F.col("group_name"), F.col("file_path"), F.col("location"), F.col("pos"), F.col("normalized")).alias("made_id"))
 
 
+def unit_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a file: what its units keep of its blocks - all but white space - and how many units are over the limit."""
+    docs = t.files(spark, sf_dir).join(t.option_values(spark, sf_dir).select("options_id", "max_unit_chars", "sentence_delimiters", "soft_delimiters"), "options_id", "left")
+    u = segment.split_blocks(docs, ["doc_id", "max_unit_chars"]).withColumn("limit", F.coalesce("max_unit_chars", F.lit(420)))
+    parts = u.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("block_no", "part_no", "text"))).alias("p"), F.count_if(visible_chars(F.col("text")) > F.col("limit")).alias("over_limit"))
+    return parts.select("doc_id", F.md5(F.regexp_replace(F.array_join(F.transform("p", lambda x: x["text"]), ""), "[\\s\u0085\u00a0\u200b\u3000\u2000-\u200a]+", "")).alias("kept_md5"), "over_limit")
+
+
+def text_file_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents read as plain text files: one row a line that is not blank."""
+    blocks = F.pandas_udf(lambda s: s.map(text_blocks, na_action="ignore"), "array<string>")
+    return t.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(blocks("text")).alias("block_no", "block")).select("doc_id", long("block_no"), "block")
+
+
 def shortened_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.table(spark, sf_dir, "documents").select("doc_id", shorten(F.col("text"), 160).alias("short"))
 
@@ -84,19 +100,18 @@ def stop_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ngram_candidates_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ng.candidates(_stored(spark, sf_dir), CASE)
+    return ng.candidates(checkpoint(_stored(spark, sf_dir)), CASE)
 
 
 def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates of different groups that pass the recall filters, with their Jaccard similarity of 0.5 or more."""
-    return _jaccard_pairs(_stored(spark, sf_dir))
+    return _jaccard_pairs(checkpoint(_stored(spark, sf_dir)))
 
 
 def _jaccard_pairs(u: DataFrame) -> DataFrame:
-    pairs = ng.candidates(u, CASE)
+    pairs = ng.recalled(ng.candidates(u, CASE), u)
     for s in "ab":
-        pairs = pairs.join(u.select(*(CASE if s == "a" else []), F.col("pos").alias(f"pos_{s}"), F.col("group_index").alias(f"g{s}"), F.col("ngrams").alias(f"ngrams_{s}"), F.size("ngrams").alias(f"n{s}"), F.length("normalized").alias(f"l{s}")), f"pos_{s}")
-    pairs = pairs.filter("ga <> gb").filter(ng.recall_filter("na", "nb", "la", "lb"))
+        pairs = pairs.join(u.select(*(CASE if s == "a" else []), F.col("pos").alias(f"pos_{s}"), F.col("ngrams").alias(f"ngrams_{s}")), f"pos_{s}")
     return pairs.withColumn("jaccard", similarity.jaccard("ngrams_a", "ngrams_b")).filter("jaccard >= 0.5").select(*CASE, "pos_a", "pos_b", "shared", "jaccard")
 
 
@@ -106,9 +121,7 @@ def _jaccard_pairs(u: DataFrame) -> DataFrame:
 def _own(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Units (templates too) with form, comparability and n-grams from their NFKC text and the settings of their run."""
     raw = t.units(spark, sf_dir, t.UNIT_COLUMNS).filter("text <> ''")
-    near = F.col("text").rlike(t.NEAR_NFKC)
-    plain = raw.filter(near).withColumn("text", F.translate("text", t.WIDE, t.NARROW))
-    u = plain.unionByName(raw.filter(~near).withColumn("text", nfkc("text"))).withColumn("normalized", compare_form(F.col("text")))
+    u = raw.withColumn("text", t.nfkc_text(F.col("text"))).withColumn("normalized", compare_form(F.col("text")))
     u = u.join(t.option_values(spark, sf_dir), "options_id", "left")
     u = u.withColumn("comparable", comparable(F.col("text"), F.coalesce("min_chars", F.lit(10)), F.coalesce("min_words", F.lit(8))) & (F.col("normalized") != ""))
     return u.withColumn("ngrams", ngrams(F.col("normalized"), F.coalesce("ngram_size", F.lit(3))))
@@ -256,7 +269,7 @@ def image_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def image_near_across_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return img.near_duplicates(t.images(spark, sf_dir), [], 12).select("a", "b", long("distance"))
+    return img.near_duplicates(t.images(spark, sf_dir), [], 20).select("a", "b", long("distance"))
 
 
 def image_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -265,10 +278,10 @@ def image_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hamming_near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors whose 64 sign bits differ in 8 places or fewer, by the banded join."""
+    """Vectors whose 64 sign bits differ in 16 places or fewer, by the banded join."""
     e = t.table(spark, sf_dir, "embeddings").filter("embedding is not null")
     bits = F.expr("aggregate(transform(slice(embedding, 1, 64), (x, i) -> if(x > 0, shiftleft(1L, i), 0L)), 0L, (a, b) -> a | b)")
-    near = img.near_hashes(e.select(F.col("vec_id").alias("ord"), bits.alias("bits")), [], 8)
+    near = img.near_hashes(e.select(F.col("vec_id").alias("ord"), bits.alias("bits")), [], 16)
     return near.select("a", "b", long("distance"))
 
 

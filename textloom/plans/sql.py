@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from textloom.plans.nfkc import SPACES, compare_form, nfkc, strip
+
 _FILES = "files as (select * from (select *, row_number() over (partition by doc_id order by loaded_at desc, file_path desc) as rn from bid_files) x where rn = 1)"
 _UNITS = """units as (select * from (select *, row_number() over (partition by unit_id, pos order by (coalesce(text, '') <> '') desc, loaded_at desc, coalesce(text, '') desc) as rn
   from text_units) x where rn = 1)"""
@@ -13,7 +15,7 @@ images as (select once.*, files.case_id, lpad(cast(once.doc_id as varchar), 19,
 _STORED = """stored as (select case_id, pos, unit_id, min(normalized) as form, min(group_index) as group_index from text_units
   where normalized <> '' and group_index >= 0 and comparable group by case_id, pos, unit_id),
 grams as (select case_id, pos, unnest(list_distinct(case when length(form) <= 3 then [form] else list_transform(range(1, length(form) - 1), lambda i: substring(form, i, 3)) end)) as gram from stored)"""
-_SHARED = f"""{_STORED},
+_SHARED = """
 df as (select case_id, gram from grams group by case_id, gram having count(*) between 2 and 300),
 held as (select grams.* from grams join df using (case_id, gram)),
 sizes as (select case_id, pos, count(*) as n from grams group by case_id, pos),
@@ -24,6 +26,42 @@ parts as (
   join sizes on sizes.case_id = a.case_id and sizes.pos = a.pos),
 shared as (select case_id, pos_a, pos_b, cast(sum(s) as bigint) as shared from parts group by case_id, pos_a, pos_b),
 top as (select case_id, pos_a, pos_b, shared from (select *, row_number() over (partition by case_id, pos_a order by shared desc, pos_b) as rn from shared) x where rn <= 200)"""
+_ABLE = """case when regexp_matches(text, '[\\x{3400}-\\x{9fff}]') then length(regexp_replace(text, '[^\\p{L}\\p{N}_]', '', 'g')) >= coalesce(min_chars, 10)
+  else len(regexp_extract_all(text, '[A-Za-z0-9_]+')) >= coalesce(min_words, 8) end"""
+_OWN = f"""{_UNITS},
+clear as (select * exclude (text), {nfkc('text')} as text from units where text <> ''),
+own as (select clear.*, {compare_form('text')} as form, coalesce(ngram_size, 3) as k, {_ABLE} as able from clear left join check_options using (options_id))"""
+_OWN_GRAMS = f"""{_OWN},
+stored as (select case_id, pos, unit_id, group_index, group_name, form, k from own where able and form <> '' and group_index >= 0),
+grams as (select case_id, pos, unnest(list_distinct(case when length(form) <= k then [form] else list_transform(range(1, length(form) - k + 2), lambda i: substring(form, i, k)) end)) as gram from stored)"""
+_JACCARD = f"""{_SHARED},
+overlap as (select a.case_id, a.pos as pos_a, b.pos as pos_b, count(*) as both_n from grams a join grams b on a.case_id = b.case_id and a.gram = b.gram and a.pos < b.pos group by 1, 2, 3),
+full_ as (select top.*, o.both_n, ua.group_index as ga, ub.group_index as gb, length(ua.form) as la, length(ub.form) as lb, na.n as na, nb.n as nb from top
+  join overlap o using (case_id, pos_a, pos_b)
+  join stored ua on ua.case_id = top.case_id and ua.pos = top.pos_a join stored ub on ub.case_id = top.case_id and ub.pos = top.pos_b
+  join sizes na on na.case_id = top.case_id and na.pos = top.pos_a join sizes nb on nb.case_id = top.case_id and nb.pos = top.pos_b)
+select case_id, pos_a, pos_b, shared, both_n / (na + nb - both_n) as jaccard from full_
+where ga <> gb and least(la, lb) / greatest(la, lb) >= 0.55 and shared >= greatest(2, floor(least(na, nb) * 0.12)) and both_n / (na + nb - both_n) >= 0.5"""
+_EMPHASIS = r"\*\*(.*?)\*\*|__(.*?)__|\*([^*_`\n]+)\*|_([^*_`\n]+)_|~~(.*?)~~"
+
+
+def _sub(text: str, pattern: str, kept: str = "''", flags: str = "g") -> str:
+    return f"regexp_replace({text}, '{pattern}', {kept}, '{flags}')"
+
+
+def _markdown(text: str) -> str:
+    """Markup taken out of a text, emphasis up to six deep; then line by line."""
+    for pattern, kept in ((r"(?s)```.*?```|~~~.*?~~~", "chr(10)"), (r"`[^`]*`", "' '"), (r"!\[[^\]]*\]\(([^)\s]+)(?:\s+\"[^\"]*\")?\)", "' '"), (r"\[([^\]]+)\]\(([^)]+)\)", r"'\1'"), (r"<[^>]+>", "' '"), *[(_EMPHASIS, r"'\1\2\3\4\5'")] * 6):
+        text = _sub(text, pattern, kept)
+    lines = _sub(_sub(text, r"\r\n|[\r\v\f\x1c-\x1e\x{85}\x{2028}\x{2029}]", "chr(10)"), r"\n\z")
+    line = strip("l")
+    line = _sub(line, rf"^\|?{SPACES}*:?-{{3,}}:?{SPACES}*(\|{SPACES}*:?-{{3,}}:?{SPACES}*)+\|?$")
+    for pattern in (rf"^#{{1,6}}{SPACES}*", rf"{SPACES}+#{{1,6}}{SPACES}*$", rf"^{SPACES}*>{SPACES}?", rf"^{SPACES}*\d+[.)、]{SPACES}+", rf"^{SPACES}*[-*+]{SPACES}+"):
+        line = _sub(line, pattern)
+    line = strip(_sub(f"replace({line}, '|', ' ')", f"{SPACES}{{2,}}", "' '"))
+    return f"array_to_string(list_transform(string_split({lines}, chr(10)), lambda l: {line}), chr(10))"
+
+
 _PAIRS = f"""{_MATCHES},
 flat as (select case_id, least(group_a, group_b) as group_a, greatest(group_a, group_b) as group_b, excluded, similarity, [regexp_extract(file_a, '[^/\\\\]*$'), regexp_extract(file_b, '[^/\\\\]*$')] as f from matches),
 pairs as (select case_id, group_a, group_b, count(*) filter (not excluded) as match_count, count(*) filter (excluded) as excluded_count,
@@ -47,14 +85,41 @@ def oracle_sql() -> dict[str, str]:
 with lists as (select doc_id, list_filter(list_transform(regexp_extract_all(text, '([^。！？!?；;\\r\\n]*[！？。!?；;]|[^。！？!?；;\\r\\n]+)', 1),
   lambda p: regexp_replace(p, '^[ \\t\\x{00a0}\\x{3000}]+|[ \\t\\x{00a0}\\x{3000}]+$', '', 'g')), lambda p: p <> '') as l from documents)
 select doc_id, cast(i as bigint) as piece_no, l[i + 1] as piece from (select doc_id, l, unnest(range(0, len(l))) as i from lists) x""",
-        "unit_features": """
-select unit_id, pos, strftime(loaded_at at time zone 'UTC', '%Y-%m-%d %H:%M:%S') as loaded, regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{N}_]', '', 'g') as form,
-  cast(length(regexp_replace(coalesce(text, ''), '[^\\p{L}\\p{N}_]', '', 'g')) as bigint) as chars,
+        "unit_features": f"""
+select unit_id, pos, strftime(loaded_at at time zone 'UTC', '%Y-%m-%d %H:%M:%S') as loaded, coalesce({compare_form('text')}, '') as form,
+  cast(length(regexp_replace(coalesce(text, ''), '[^\\p{{L}}\\p{{N}}_]', '', 'g')) as bigint) as chars,
   cast(len(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9_]+')) as bigint) as words,
-  regexp_matches(coalesce(text, ''), '[\\x{3400}-\\x{9fff}]') as han,
-  case when regexp_matches(coalesce(text, ''), '[\\x{3400}-\\x{9fff}]') then length(regexp_replace(coalesce(text, ''), '[^\\p{L}\\p{N}_]', '', 'g')) >= 10
+  regexp_matches(coalesce(text, ''), '[\\x{{3400}}-\\x{{9fff}}]') as han,
+  case when regexp_matches(coalesce(text, ''), '[\\x{{3400}}-\\x{{9fff}}]') then length(regexp_replace(coalesce(text, ''), '[^\\p{{L}}\\p{{N}}_]', '', 'g')) >= 10
     else len(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9_]+')) >= 8 end as able
-from (select distinct unit_id, pos, loaded_at, text from text_units) u""",
+from (select unit_id, pos, loaded_at, {nfkc('text')} as text from (select distinct unit_id, pos, loaded_at, text from text_units) v) u""",
+        "unit_audit": f"""
+with {_FILES} select doc_id, md5(regexp_replace({nfkc("array_to_string(blocks, '')")}, '{SPACES}+|\\x{{200b}}', '', 'g')) as kept_md5, cast(0 as bigint) as over_limit
+from files where len(list_filter(blocks, lambda b: {strip('b')} <> '')) > 0""",
+        "text_file_blocks": f"""
+with lists as (select doc_id, list_filter(list_transform(string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)), lambda l: {strip('l')}), lambda l: l <> '') as p from documents)
+select doc_id, cast(i as bigint) as block_no, p[i + 1] as block from (select doc_id, p, unnest(range(0, len(p))) as i from lists) x""",
+        "markdown_plain": f"select doc_id, {_markdown('text')} as plain from documents",
+        "keyword_hits_found": f"""
+with {_TEXTS}, {_WORDS},
+cut as (select case_id, doc_id, keyword, text, string_split(lower(text), lower(keyword)) as p from texts, words where contains(lower(text), lower(keyword))),
+place as (select *, cast(list_sum(list_transform(p[1:n], lambda x: length(x))) + (n - 1) * length(keyword) as bigint) as a from (select *, unnest(range(1, len(p))) as n from cut) x)
+select case_id, doc_id, keyword, cast(n as integer) as hit_no, substring(text, a + 1, length(keyword)) as matched_text,
+  case when a > 50 then '...' else '' end || replace(substring(text, greatest(a - 50, 0) + 1, least(a + length(keyword) + 50, length(text)) - greatest(a - 50, 0)), chr(10), ' ')
+  || case when a + length(keyword) + 50 < length(text) then '...' else '' end as snippet from place""",
+        "unit_ids_from_text": f"""
+with {_OWN} select file_path, location, pos, substring(sha1(concat_ws('|', group_name, file_path, location, cast(pos as varchar), substring(form, 1, 80))), 1, 16) as made_id from own""",
+        "exact_duplicate_units_from_text": f"""
+with {_OWN} select case_id, form as normalized, count(distinct group_name) as n_groups, count(distinct (unit_id, pos)) as n_units
+from own where able and form <> '' and group_index >= 0 group by case_id, form having count(distinct group_name) >= 2""",
+        "ngram_document_frequency_from_text": f"with {_OWN_GRAMS} select gram, count(*) as df from grams group by gram",
+        "stop_grams_from_text": f"with {_OWN_GRAMS} select gram, count(*) as df from grams group by gram having count(*) > 300",
+        "ngram_candidates_from_text": f"with {_OWN_GRAMS}, {_SHARED} select pos_a, pos_b, shared from top",
+        "jaccard_pairs_from_text": f"with {_OWN_GRAMS}, {_JACCARD}",
+        "exclude_exact_from_text": f"""
+with {_OWN}, able_ as (select * from own where able and form <> ''),
+e as (select case_id, form, min(pos) as exclude_pos from able_ where group_index < 0 group by case_id, form)
+select distinct u.case_id, u.pos, u.unit_id, e.exclude_pos from able_ u join e on u.case_id = e.case_id and u.form = e.form where u.group_index >= 0""",
         "unit_ids": """
 select file_path, location, pos, substring(sha1(concat_ws('|', group_name, file_path, location, cast(pos as varchar), substring(normalized, 1, 80))), 1, 16) as made_id
 from (select distinct group_name, file_path, location, pos, normalized from text_units where normalized is not null) u""",
@@ -66,16 +131,8 @@ select case_id, normalized, count(distinct group_name) as n_groups, count(distin
 from text_units where comparable and normalized <> '' and group_index >= 0 group by case_id, normalized having count(distinct group_name) >= 2""",
         "ngram_document_frequency": f"with {_STORED} select gram, count(*) as df from grams group by gram",
         "stop_grams": f"with {_STORED} select gram, count(*) as df from grams group by gram having count(*) > 300",
-        "ngram_candidates_topk": f"with {_SHARED} select pos_a, pos_b, shared from top",
-        "jaccard_pairs": f"""
-with {_SHARED},
-overlap as (select a.case_id, a.pos as pos_a, b.pos as pos_b, count(*) as both_n from grams a join grams b on a.case_id = b.case_id and a.gram = b.gram and a.pos < b.pos group by 1, 2, 3),
-full_ as (select top.*, o.both_n, ua.group_index as ga, ub.group_index as gb, length(ua.form) as la, length(ub.form) as lb, na.n as na, nb.n as nb from top
-  join overlap o using (case_id, pos_a, pos_b)
-  join stored ua on ua.case_id = top.case_id and ua.pos = top.pos_a join stored ub on ub.case_id = top.case_id and ub.pos = top.pos_b
-  join sizes na on na.case_id = top.case_id and na.pos = top.pos_a join sizes nb on nb.case_id = top.case_id and nb.pos = top.pos_b)
-select case_id, pos_a, pos_b, shared, both_n / (na + nb - both_n) as jaccard from full_
-where ga <> gb and least(la, lb) / greatest(la, lb) >= 0.55 and shared >= greatest(2, floor(least(na, nb) * 0.12)) and both_n / (na + nb - both_n) >= 0.5""",
+        "ngram_candidates_topk": f"with {_STORED}, {_SHARED} select pos_a, pos_b, shared from top",
+        "jaccard_pairs": f"with {_STORED}, {_JACCARD}",
         "exclude_exact": """
 with e as (select case_id, normalized, min(pos) as exclude_pos from text_units where normalized <> '' and comparable and group_index < 0 group by case_id, normalized)
 select distinct u.case_id, u.pos, u.unit_id, e.exclude_pos from text_units u join e on u.case_id = e.case_id and u.normalized = e.normalized where u.comparable and u.group_index >= 0""",
@@ -122,11 +179,11 @@ known as (select distinct least(a.image_id, b.image_id) as lo, greatest(a.image_
 near as (select a.ord as a, b.ord as b, least(a.image_id, b.image_id) as lo, greatest(a.image_id, b.image_id) as hi,
   bit_count(xor(cast('0x' || a.ahash as ubigint), cast('0x' || b.ahash as ubigint))) as distance
   from images a join images b on a.ord < b.ord and a.group_name <> b.group_name where a.ahash is not null and b.ahash is not null)
-select a, b, cast(distance as bigint) as distance from near anti join known using (lo, hi) where distance <= 12""",
+select a, b, cast(distance as bigint) as distance from near anti join known using (lo, hi) where distance <= 20""",
         "hamming_near_pairs": """
 with bits as (select vec_id, list_transform(embedding[1:64], lambda x: x > 0) as s from embeddings where embedding is not null),
 b as (select vec_id, cast(array_to_string(list_transform(s, lambda x: case when x then '1' else '0' end), '') as bit) as v from bits)
-select x.vec_id as a, y.vec_id as b, cast(bit_count(xor(x.v, y.v)) as bigint) as distance from b x join b y on x.vec_id < y.vec_id where bit_count(xor(x.v, y.v)) <= 8""",
+select x.vec_id as a, y.vec_id as b, cast(bit_count(xor(x.v, y.v)) as bigint) as distance from b x join b y on x.vec_id < y.vec_id where bit_count(xor(x.v, y.v)) <= 16""",
         "pair_summary": f"with {_PAIRS} select * exclude (avg_similarity) from pairs",
         "all_group_pairs": f"""
 with {_PAIRS}, {_FILES},

@@ -32,17 +32,16 @@ def units(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) ->
     return raw.groupBy("unit_id", "pos").agg(F.max_by(F.struct(*cols), F.struct(has, "loaded_at", F.coalesce("text", F.lit("")))).alias("r")).select("unit_id", "pos", "r.*")
 
 
-def form(text):
-    """The comparison form, natively where full-width ASCII is all that has to be settled."""
-    return compare_form(F.translate(text, WIDE, NARROW))
+def nfkc_text(text):
+    """NFKC in one scan: natively where full-width ASCII is all that has to be settled; Python sees a null in place of
+    such a text."""
+    near = text.rlike(NEAR_NFKC)
+    return F.when(near, F.translate(text, WIDE, NARROW)).otherwise(nfkc(F.when(~near, text)))
 
 
 def with_forms(rows: DataFrame, text: str = "text") -> DataFrame:
-    """Adds the comparison form as `normalized`; only texts with other compatibility characters go through Python."""
-    rows = rows.drop("normalized")
-    near = F.coalesce(F.col(text), F.lit("")).rlike(NEAR_NFKC)
-    plain = rows.filter(near).withColumn("normalized", form(F.col(text)))
-    return plain.unionByName(rows.filter(~near).withColumn("normalized", compare_form(nfkc(text))))
+    """Adds the comparison form as `normalized`, of the text under NFKC."""
+    return rows.withColumn("normalized", compare_form(nfkc_text(F.coalesce(F.col(text), F.lit("")))))
 
 
 def option_values(spark: SparkSession, sf_dir: str) -> DataFrame:
