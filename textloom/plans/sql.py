@@ -29,10 +29,11 @@ top as (select case_id, pos_a, pos_b, shared from (select *, row_number() over (
 _ABLE = """case when regexp_matches(text, '[\\x{3400}-\\x{9fff}]') then length(regexp_replace(text, '[^\\p{L}\\p{N}_]', '', 'g')) >= coalesce(min_chars, 10)
   else len(regexp_extract_all(text, '[A-Za-z0-9_]+')) >= coalesce(min_words, 8) end"""
 _OWN = f"""{_UNITS},
-clear as (select * exclude (text), {nfkc('text')} as text from units where text <> ''),
-own as (select clear.*, {compare_form('text')} as form, coalesce(ngram_size, 3) as k, {_ABLE} as able from clear left join check_options using (options_id))"""
+clear as (select * exclude (text), text as raw, {nfkc('text')} as text from units where text <> ''),
+own as (select clear.*, {compare_form('text')} as form, coalesce(ngram_size, 3) as k, {_ABLE} as able,
+  coalesce(similarity_threshold, 0.78) as threshold, coalesce(exclude_threshold, 0.86) as exclude_threshold from clear left join check_options using (options_id))"""
 _OWN_GRAMS = f"""{_OWN},
-stored as (select case_id, pos, unit_id, group_index, group_name, form, k from own where able and form <> '' and group_index >= 0),
+stored as (select case_id, pos, unit_id, group_index, group_name, file_name, location, raw, form, k, threshold, exclude_threshold from own where able and form <> '' and group_index >= 0),
 grams as (select case_id, pos, unnest(list_distinct(case when length(form) <= k then [form] else list_transform(range(1, length(form) - k + 2), lambda i: substring(form, i, k)) end)) as gram from stored)"""
 _JACCARD = f"""{_SHARED},
 overlap as (select a.case_id, a.pos as pos_a, b.pos as pos_b, count(*) as both_n from grams a join grams b on a.case_id = b.case_id and a.gram = b.gram and a.pos < b.pos group by 1, 2, 3),
@@ -42,6 +43,65 @@ full_ as (select top.*, o.both_n, ua.group_index as ga, ub.group_index as gb, le
   join sizes na on na.case_id = top.case_id and na.pos = top.pos_a join sizes nb on nb.case_id = top.case_id and nb.pos = top.pos_b)
 select case_id, pos_a, pos_b, shared, both_n / (na + nb - both_n) as jaccard from full_
 where ga <> gb and least(la, lb) / greatest(la, lb) >= 0.55 and shared >= greatest(2, floor(least(na, nb) * 0.12)) and both_n / (na + nb - both_n) >= 0.5"""
+#: For pairs (id, a, b) of texts: how many characters the longest common runs hold, each found left and right of the one
+#: before - of the longest the first in a, then in b.
+def _runs(p: str) -> str:
+    return """cells as (
+  select id, i, j from (select id, b, i, substring(a, i, 1) as c from (select id, a, b, unnest(range(1, length(a) + 1)) as i from pairs) x) y
+  join (select id, j, substring(b, j, 1) as c from (select id, b, unnest(range(1, length(b) + 1)) as j from pairs) x) z using (id, c)),
+split as (
+  select id, 1 as al, length(a) + 1 as ah, 1 as bl, length(b) + 1 as bh, cast(0 as bigint) as n from pairs
+  union all
+  select id, s.al, s.ah, s.bl, s.bh, s.n from (
+    select id, unnest([{'al': al, 'ah': i, 'bl': bl, 'bh': j, 'n': n}, {'al': i + n, 'ah': ah, 'bl': j + n, 'bh': bh, 'n': 0}]) as s from (
+      select id, al, ah, bl, bh, min(i) as i, min(j) as j, count(*) as n, row_number() over (partition by id, al, ah, bl, bh order by count(*) desc, min(i), min(j)) as best from (
+        select split.id, al, ah, bl, bh, i, j, i - row_number() over (partition by split.id, al, ah, bl, bh, j - i order by i) as run
+        from split join cells on cells.id = split.id and i >= al and i < ah and j >= bl and j < bh where ah > al and bh > bl) x
+      group by id, al, ah, bl, bh, j - i, run) y
+    where best = 1) z),
+common as (select id, sum(n) as n from split group by id)""".replace("pairs", f"{p}pairs").replace("cells", f"{p}cells").replace("split", f"{p}split").replace("common", f"{p}common")
+
+
+_SCORED = f"""{_OWN_GRAMS}, {_SHARED},
+sides as (select top.*, a.group_index as ga, b.group_index as gb, a.form as a, b.form as b, na.n as na, nb.n as nb, a.threshold from top
+  join stored a on a.case_id = top.case_id and a.pos = top.pos_a join stored b on b.case_id = top.case_id and b.pos = top.pos_b
+  join sizes na on na.case_id = top.case_id and na.pos = top.pos_a join sizes nb on nb.case_id = top.case_id and nb.pos = top.pos_b),
+near as (select * from sides where ga <> gb and least(length(a), length(b)) / greatest(length(a), length(b)) >= 0.55 and shared >= greatest(2, floor(least(na, nb) * 0.12))),
+overlap as (select near.case_id, near.pos_a, near.pos_b, count(*) as m from near join grams x on x.case_id = near.case_id and x.pos = near.pos_a
+  join grams y on y.case_id = near.case_id and y.pos = near.pos_b and y.gram = x.gram group by near.case_id, near.pos_a, near.pos_b),
+jac as (select near.*, coalesce(m, 0) / (na + nb - coalesce(m, 0)) as jaccard from near left join overlap using (case_id, pos_a, pos_b)),
+pairs as (select row_number() over () as id, a, b from (select distinct a, b from jac where a <> b and 0.62 * (2.0 * least(length(a), length(b)) / (length(a) + length(b))) + 0.38 * jaccard >= threshold - 1e-9) x),
+{_runs("")},
+ratios as (select a, b, 2.0 * cast(n as double) / (length(a) + length(b)) as ratio from pairs join common using (id)),
+scored as (select case_id, pos_a, pos_b, shared, threshold, case when a = b then 1.0::double else cast(0.62 as double) * ratio + cast(0.38 as double) * jaccard end as similarity from jac left join ratios using (a, b) where a = b or ratio is not null)"""
+_EXCLUDED = f"""{_SCORED},
+found as (select * from scored where similarity >= threshold),
+needed as (select stored.* from stored semi join (select case_id, pos_a as pos from found union select case_id, pos_b from found) x using (case_id, pos)),
+templates as (select * from own where able and form <> '' and group_index < 0),
+twins as (select case_id, form, min(pos) as exclude_pos, arg_min(file_name, pos) as exclude_file from templates group by case_id, form),
+rest as (select * from needed anti join twins using (case_id, form)),
+template_grams as (select case_id, pos as exclude_pos, unnest(list_distinct(case when length(form) <= k then [form] else list_transform(range(1, length(form) - k + 2), lambda i: substring(form, i, k)) end)) as gram from templates),
+few as (select case_id, gram from template_grams group by case_id, gram having count(*) <= 300),
+asked as (select case_id, pos, exclude_pos, count(*) as shared from rest join grams using (case_id, pos) join (select * from template_grams semi join few using (case_id, gram)) g using (case_id, gram) group by case_id, pos, exclude_pos),
+ranked as (select * from (select *, row_number() over (partition by case_id, pos order by shared desc, exclude_pos) as r from asked) x where r <= 80),
+both_sizes as (select case_id, exclude_pos, count(*) as n from template_grams group by case_id, exclude_pos),
+both_shared as (select ranked.case_id, ranked.pos, ranked.exclude_pos, count(*) as m from ranked join grams using (case_id, pos) join template_grams t on t.case_id = ranked.case_id and t.exclude_pos = ranked.exclude_pos and t.gram = grams.gram group by 1, 2, 3),
+e_jac as (select r.case_id, r.pos, r.exclude_pos, r.r, u.form as a, e.form as b, e.file_name as exclude_file, u.exclude_threshold, coalesce(m, 0) / (x.n + y.n - coalesce(m, 0)) as jaccard
+  from ranked r join rest u on u.case_id = r.case_id and u.pos = r.pos join templates e on e.case_id = r.case_id and e.pos = r.exclude_pos
+  join sizes x on x.case_id = r.case_id and x.pos = r.pos join both_sizes y on y.case_id = r.case_id and y.exclude_pos = r.exclude_pos
+  left join both_shared s on s.case_id = r.case_id and s.pos = r.pos and s.exclude_pos = r.exclude_pos
+  where least(length(u.form), length(e.form)) / greatest(length(u.form), length(e.form)) >= 0.55),
+e_pairs as (select row_number() over () as id, a, b from (select distinct a, b from e_jac where 0.62 * (2.0 * least(length(a), length(b)) / (length(a) + length(b))) + 0.38 * jaccard >= exclude_threshold - 1e-9) x),
+{_runs("e_")},
+e_scored as (select e_jac.*, cast(0.62 as double) * (2.0 * cast(n as double) / (length(e_jac.a) + length(e_jac.b))) + cast(0.38 as double) * jaccard as score from e_jac join e_pairs on e_pairs.a = e_jac.a and e_pairs.b = e_jac.b join e_common using (id)),
+best as (
+  select case_id, pos, exclude_file, 1.0::double as score from needed join twins using (case_id, form)
+  union all
+  select case_id, pos, exclude_file, score from (select *, row_number() over (partition by case_id, pos order by score desc, r) as k from e_scored where score >= exclude_threshold) x where k = 1)"""
+_SIDES = """
+select s.case_id, a.unit_id as unit_id_a, a.group_name as group_a, a.file_name as file_a, a.location as location_a, a.raw as text_a,
+  b.unit_id as unit_id_b, b.group_name as group_b, b.file_name as file_b, b.location as location_b, b.raw as text_b, s.pos_a, s.pos_b, s.shared, s.similarity"""
+_SIDES_OF = "join stored a on a.case_id = s.case_id and a.pos = s.pos_a join stored b on b.case_id = s.case_id and b.pos = s.pos_b"
 _EMPHASIS = r"\*\*(.*?)\*\*|__(.*?)__|\*([^*_`\n]+)\*|_([^*_`\n]+)_|~~(.*?)~~"
 
 
@@ -133,6 +193,11 @@ from text_units where comparable and normalized <> '' and group_index >= 0 group
         "stop_grams": f"with {_STORED} select gram, count(*) as df from grams group by gram having count(*) > 300",
         "ngram_candidates_topk": f"with {_STORED}, {_SHARED} select pos_a, pos_b, shared from top",
         "jaccard_pairs": f"with {_STORED}, {_JACCARD}",
+        "similarity_scored": f"with recursive {_SCORED} {_SIDES} from scored s {_SIDES_OF} where s.similarity >= s.threshold",
+        "similarity_excluded": f"""
+with recursive {_EXCLUDED} {_SIDES}, x.score is not null and y.score is not null as excluded,
+  case when x.score is not null and y.score is not null then printf('两侧均匹配排除文件：%s (%.2f) / %s (%.2f)', x.exclude_file, x.score, y.exclude_file, y.score) end as exclude_reason
+from found s {_SIDES_OF} left join best x on x.case_id = s.case_id and x.pos = s.pos_a left join best y on y.case_id = s.case_id and y.pos = s.pos_b""",
         "exclude_exact": """
 with e as (select case_id, normalized, min(pos) as exclude_pos from text_units where normalized <> '' and comparable and group_index < 0 group by case_id, normalized)
 select distinct u.case_id, u.pos, u.unit_id, e.exclude_pos from text_units u join e on u.case_id = e.case_id and u.normalized = e.normalized where u.comparable and u.group_index >= 0""",

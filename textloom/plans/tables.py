@@ -58,7 +58,7 @@ def comparable_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textloom.functions.text import comparable
 
     rows = with_forms(units(spark, sf_dir, UNIT_COLUMNS)).join(option_values(spark, sf_dir), "options_id", "left")
-    rows = rows.withColumn("comparable", comparable(F.translate("text", WIDE, NARROW), F.coalesce("min_chars", F.lit(10)), F.coalesce("min_words", F.lit(8))) & (F.col("normalized") != ""))
+    rows = rows.withColumn("comparable", comparable(nfkc_text(F.col("text")), F.coalesce("min_chars", F.lit(10)), F.coalesce("min_words", F.lit(8))) & (F.col("normalized") != ""))
     return rows.withColumn("ngrams", ngrams(F.col("normalized"), F.coalesce("ngram_size", F.lit(3))))
 
 
