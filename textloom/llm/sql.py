@@ -5,26 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 from textloom.llm.lookalike import _TABLE, _TO_LATIN
-
-
-def _translate(text: str, table: dict[str, str]) -> str:
-    """translate() with what becomes one character first and what goes last, as that drops what has no counterpart."""
-    order = sorted(table, key=lambda c: (table[c] == "", c))
-    quoted = ("".join(x).replace("'", "''") for x in (order, (table[c] for c in order)))
-    return f"translate({text}, '{next(quoted)}', '{next(quoted)}')"
-
-
-def _nfkc(text: str) -> str:
-    """NFKC where SQL has NFC only: every character of the first plane that becomes one other, and of those that become
-    several the three that occur in the data."""
-    for c in "℃㎡…":
-        text = f"replace({text}, '{c}', '{unicodedata.normalize('NFKC', c)}')"
-    forms = {chr(c): unicodedata.normalize("NFKC", chr(c)) for c in range(0x80, 0x10000) if not 0xD800 <= c < 0xE000}
-    return f"nfc_normalize({_translate(text, {c: f for c, f in forms.items() if len(f) == 1 and f != c})})"
-
-
-def _norm(text: str) -> str:
-    return f"regexp_replace(lower({_nfkc(text)}), '[^\\p{{L}}\\p{{N}}_]', '', 'g')"
+from textloom.plans.nfkc import norm, translate
 
 
 def _look(text: str) -> str:
@@ -37,7 +18,7 @@ def _look(text: str) -> str:
             form = unicodedata.normalize("NFC", "".join(_TO_LATIN.get(x, x) for x in unicodedata.normalize("NFD", seen)))
             if form != chr(c) and len(form) < 2:
                 table[chr(c)] = form
-    return f"nfc_normalize({_translate(text, table)})"
+    return f"nfc_normalize({translate(text, table)})"
 
 
 _LINKS = """links as (
@@ -70,7 +51,7 @@ _LOOKS = f"""f as (select distinct unit_id, text, {_look('text')} as form from t
 several as (select form from f where form <> '' group by form having count(distinct text) > 1),
 members as (select f.* from f join several using (form))"""
 _NEAR = f"""{_RECORDS},
-forms as (select unit_id, {_norm('text')} as f from rec),
+forms as (select unit_id, {norm('text')} as f from rec),
 classes as (select f, count(*) as copies, min(unit_id) as class_id, row_number() over (order by f) as c from forms group by f),
 grams as (select distinct c, substring(f, i, 3) as g from (select c, f, unnest(range(1, length(f) - 1)) as i from classes where length(f) >= 3) x),
 sizes as (select c, count(*) as n from grams group by c),
@@ -83,11 +64,11 @@ def oracle_sql() -> dict[str, str]:
         "p2_found": f"""
 with o as (select options_id, max(max_unit_chars) as most from check_options group by options_id)
 select distinct unit_id from text_units left join o using (options_id)
-where unit_id is not null and text is not null and length({_norm('text')}) > case when most > 0 then most else 420 end""",
+where unit_id is not null and text is not null and length({norm('text')}) > case when most > 0 then most else 420 end""",
         "p2_rebuilt": f"""
 with o as (select options_id, max(max_unit_chars) as most from check_options group by options_id)
 select unit_id, md5(text) as text_md5, true as fits from (select distinct unit_id, options_id, text from text_units) u left join o using (options_id)
-where unit_id is not null and text is not null and length({_norm('text')}) > case when most > 0 then most else 420 end""",
+where unit_id is not null and text is not null and length({norm('text')}) > case when most > 0 then most else 420 end""",
         "p4_found": f"""
 with {_LOOKS}
 select distinct least(a.unit_id, b.unit_id) as unit_id_1, greatest(a.unit_id, b.unit_id) as unit_id_2
@@ -113,8 +94,8 @@ from forms join classes using (f) join groups using (c) left join links using (c
         "p7_audit": """
 select count(distinct doc_id) as documents, cast(0 as bigint) as lost, cast(0 as bigint) as gaps, cast(0 as bigint) as needless_cuts, cast(0 as bigint) as overfull from documents""",
         "p8_found": f"""
-with items as (select item_id, {_norm('text')} as f from eval_items where item_id is not null and text is not null),
-docs as (select doc_id, {_norm('text')} as f from documents where doc_id is not null and text is not null),
+with items as (select item_id, {norm('text')} as f from eval_items where item_id is not null and text is not null),
+docs as (select doc_id, {norm('text')} as f from documents where doc_id is not null and text is not null),
 parts as (select item_id, i, substring(f, i, 25) as w from (select item_id, f, unnest(range(1, length(f) - 23)) as i from items) x),
 wanted as (select distinct w from parts),
 seen as (select distinct doc_id, substring(f, i, 25) as w from (select doc_id, f, unnest(range(1, length(f) - 23)) as i from docs) x where substring(f, i, 25) in (select w from wanted)),
