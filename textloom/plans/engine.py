@@ -54,7 +54,9 @@ def check_documents(documents: DataFrame, config: Config, progress: Progress | N
     """Run all detectors over a table of documents (see `read_documents`); group_index < 0 marks template files."""
     o, stages, spark = config.options, _Stages(progress), documents.sparkSession
     began = time.perf_counter()
-    documents = stages.run("parse_documents", lambda: documents)
+    listed = documents
+    own_files = stages.run("parse_documents", lambda: listed.filter("group_index >= 0"))
+    documents = own_files.unionByName(stages.run("parse_excludes", lambda: listed.filter("group_index < 0")))
     units = stages.run("segment_units", lambda: ngrams.number_units(segment.build_units(documents, o), FILE_ORDER, UNIT_ORDER))
     own, excludes = units.filter("group_index >= 0"), units.filter("group_index < 0")
 

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import asdict
 from pathlib import Path
-from urllib.parse import unquote, urlparse
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -81,14 +81,14 @@ def read_documents(spark: SparkSession, groups: tuple[Group, ...], excludes: tup
     for p in paths:
         validate(p)
     settings = asdict(options)
-    raw = spark.read.format("binaryFile").load([Path(p).as_uri() for p in paths])
+    raw = spark.read.format("binaryFile").load([re.sub(r"([\\*?\[\]{}])", r"\\\1", p) for p in paths])  # names as they are, not patterns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         wanted = Options(**settings)
         for batch in batches:
             out = []
             for path, content, size, changed in zip(batch["path"], batch["content"], batch["length"], batch["modificationTime"]):
-                local = unquote(urlparse(path).path)
+                local = re.sub("^file:/+", "/", path)
                 base = {"path": local, "name": os.path.basename(local), "size": str(size), "modified_time": changed.isoformat(timespec="seconds")}
                 try:
                     blocks, meta, images = parse(content, local, wanted, provider)
