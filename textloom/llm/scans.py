@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from textloom.llm.common import checkpoint
+
 #: What a scanner reads (left) for what is printed (right), by kind of text.
 HAN = dict(p[::-1] for p in "单車 间问 测侧 标杯 方万 管菅 工土 计汁 检捡 程桯 理埋 台合 日曰 服眼 目日 据椐 设没 实买 络洛 材村 系糸 土士 质盾 证汪 技枝 件仵 备各 已己 末未 人入 天夫 千干 网冈 问间 拆折 侯候 今令 贝见 处外 未末 大太 间闫 件伴 材林 料科 线钱 安妥 电龟 水氺 监鉴 现观 位住 组纽 施旋 值植 招拾 公么 司可 限跟".split())
 HAN["土"], HAN["日"], HAN["曰"], HAN["士"] = "工", "目", "日目", "工土"
@@ -89,14 +91,19 @@ def misread_token(token: str, at_line_start: bool, code_before: bool) -> bool:
     return False
 
 
-FEATURES = "kind string, doc_id long, unit_id string, pos long, key string, alt string, extra string"
+FEATURES = "kind string, doc_id long, unit_id string, pos long, key string, alt string, extra string, ctx long, value long, delta long"
+
+
+def _windows(left: str, right: str) -> set[tuple[int, str]]:
+    """The contexts of a character: none, and one or two characters on either side, as (side, characters)."""
+    return {(side if near else 0, near) for side, near in ((0, ""), (1, left[-1:]), (2, right[:1]), (1, left), (2, right))}
 
 
 def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """One pass over scanned units. Rows by kind: hyphen, page_no, misread (certain alone); line (first line of the unit:
-    key is the folded line, alt its tail, extra whether it may be a header); word (a lower-case word); han (a place of
-    a confusable character: key its window, alt the window as printed, extra names the place; alt null: counts only; more: the same
-    place with another printed character).
+    key is the folded line, alt its tail, extra whether it may be a header); word (a lower-case word); han (a window around
+    a confusable character: ctx its context, value its anagram value, delta what the printed character would change of it,
+    extra names the place; delta 0: counts only; more: the same window with another printed character).
     """
     for batch in batches:
         rows = []
@@ -136,10 +143,13 @@ def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if wrong is None and c not in _RIGHT:
                     continue
                 left, right = context[max(0, i - 2) : i], context[i + 1 : i + 3]
-                for before, after in {("", ""), (left[-1:], ""), ("", right[:1]), (left, ""), ("", right)}:
+                for side, near in _windows(left, right):
+                    ctx = side << 60 | len(near) << 56 | sum(ord(x) << 21 * k for k, x in enumerate(near)) if near else 0
+                    value = sum(ord(x) ** 3 for x in near + c)
                     for k, alt in enumerate(wrong or (None,)):
-                        rows.append(("more" if k else "han", doc, unit, pos, f"{before}<{c}>{after}", f"{before}<{alt}>{after}" if alt else None, f"{i}{alt}"))
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in FEATURES.split(", ")])
+                        rows.append(("more" if k else "han", doc, unit, pos, None, None, f"{i}{alt}", ctx, value, ord(alt) ** 3 - ord(c) ** 3 if alt else 0))
+        names = [c.split()[0] for c in FEATURES.split(", ")]
+        yield pd.DataFrame([r + (0,) * (len(names) - len(r)) for r in rows], columns=names)
 
 
 def scanned_ids(files: DataFrame) -> DataFrame:
@@ -160,8 +170,14 @@ def scanned_units(units: DataFrame, files: DataFrame, broadcast_ids: int = 2_000
 
 
 def anagram(word) -> F.Column:
-    """The anagram value: the sum of its characters' hashes, equal for words of the same characters."""
-    return F.aggregate(F.split(word, ""), F.lit(0).cast("long"), lambda a, c: a + F.pmod(F.xxhash64(c), F.lit(1 << 40)))
+    """The anagram value: the sum of the fifth powers of its characters' codes, equal for words of the same characters."""
+    return F.aggregate(F.split(word, ""), F.lit(0).cast("long"), lambda a, c: a + F.pow(F.ascii(c), F.lit(5)).cast("long"))
+
+
+def _differences() -> list[int]:
+    """What one or two confusions of LATIN change of an anagram value (a bounded table)."""
+    one = {sum(ord(c) ** 5 for c in right) - sum(ord(c) ** 5 for c in wrong) for wrong, right in LATIN}
+    return sorted(one | {a + b for a in one for b in one})
 
 
 def word_corrections(words: DataFrame) -> DataFrame:
@@ -169,37 +185,37 @@ def word_corrections(words: DataFrame) -> DataFrame:
 
     Every confusion changes the anagram value of a word by a fixed difference, so rare words plus one or two
     differences are joined with frequent words on the value; a shared folded form confirms the join, and the most
-    frequent candidate is ranked first. The differences are the fixed pairs of LATIN (a bounded table).
+    frequent candidate is ranked first. Rare is a word that a word of its folded form is MORE_OFTEN times as frequent as;
+    only those are changed.
     """
-    spark = words.sparkSession
     seen = words.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    pairs = spark.createDataFrame(LATIN, "wrong string, right string")
-    one = pairs.select((anagram(F.col("right")) - anagram(F.col("wrong"))).alias("d"))
-    two = one.alias("x").crossJoin(one.alias("y")).select((F.col("x.d") + F.col("y.d")).alias("d"))
-    deltas = [r["d"] for r in one.unionAll(two).distinct().collect()]
     fold = F.pandas_udf(lambda s: s.map(fold_latin), "string")
-    table = seen.withColumn("value", anagram(F.col("key"))).withColumn("fold", fold("key"))
-    changed = F.explode(F.transform(F.array(*(F.lit(d) for d in deltas)), lambda d: F.col("value") + d))
-    rare = table.select("key", "n", "fold", changed.alias("value"))
+    table = checkpoint(seen.withColumn("fold", fold("key")))
+    most = table.groupBy("fold").agg(F.max("n").alias("most"), F.min("n").alias("least")).filter((F.col("most") >= LEAST_SEEN) & (F.col("most") >= MORE_OFTEN * F.col("least")))
+    table = table.join(most.select("fold", "most").hint("merge"), "fold").withColumn("value", anagram(F.col("key")))
+    changed = F.explode(F.transform(F.array(*(F.lit(d).cast("long") for d in _differences())), lambda d: F.col("value") + d))
+    rare = table.filter(F.col("most") >= MORE_OFTEN * F.col("n")).select("key", "n", "fold", changed.alias("value"))
     often = table.filter(F.col("n") >= LEAST_SEEN).select(F.col("key").alias("word"), F.col("n").alias("m"), "value", "fold")
-    hit = rare.join(often, ["value", "fold"]).filter(f"key <> word and m >= {MORE_OFTEN} * n")
+    hit = rare.join(often.hint("merge"), ["value", "fold"]).filter(f"key <> word and m >= {MORE_OFTEN} * n")
     return hit.groupBy("key").agg(F.max_by("word", F.struct("m", "word")).alias("word"))
 
 
 def han_corrections(places: DataFrame) -> DataFrame:
     """(doc_id, unit_id, pos, extra): places where a confusable character stands for the printed one.
 
-    The character alone and windows of two and three characters around it are counted as they stand and as they would
-    be printed (other confusable characters folded, digits and capitals alike); the logs of the ratios of the two
-    counts are added up over the windows of a place. A window too rare to tell adds nothing.
+    The words of Han text are windows: the character alone, and with one or two characters on either side (other
+    confusable characters folded, digits and capitals alike). A confusion changes the anagram value of a window by a
+    fixed difference, so windows are joined with their printed variants on context and changed value; the logs of how
+    much more often the variant is seen are added up over the windows of a place, which ranks its corrections. A
+    window too rare to tell adds nothing. Counts combine map-side.
     """
-    seen = places.filter("kind = 'han'").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    asked = places.filter("alt is not null")
-    windows = asked.select("key", "alt").distinct()
-    rated = windows.join(seen, "key", "left").join(seen.select(F.col("key").alias("alt"), F.col("n").alias("m")), "alt", "left")
-    rated = rated.select("key", "alt", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("m", F.lit(0)).alias("m"))
-    rated = rated.select("key", "alt", F.when((F.col("m") == 0) & (F.col("n") <= 2), 0.0).otherwise(F.log((F.col("m") + 0.5) / (F.col("n") + 0.5))).alias("r"))
-    total = asked.join(rated, ["key", "alt"]).groupBy("doc_id", "unit_id", "pos", "extra").agg(F.sum("r").alias("r"))
+    seen = places.filter("kind = 'han'").groupBy("ctx", "value").agg(F.count(F.lit(1)).alias("n"))
+    asked = places.filter("delta <> 0")
+    windows = asked.select("ctx", "value", "delta").distinct().withColumn("printed", F.col("value") + F.col("delta"))
+    rated = windows.join(seen.hint("merge"), ["ctx", "value"], "left").join(seen.select("ctx", F.col("value").alias("printed"), F.col("n").alias("m")).hint("merge"), ["ctx", "printed"], "left")
+    rated = rated.select("ctx", "value", "delta", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("m", F.lit(0)).alias("m"))
+    rated = rated.select("ctx", "value", "delta", F.when((F.col("m") == 0) & (F.col("n") <= 2), 0.0).otherwise(F.log((F.col("m") + 0.5) / (F.col("n") + 0.5))).alias("r"))
+    total = asked.join(rated.hint("merge"), ["ctx", "value", "delta"]).groupBy("doc_id", "unit_id", "pos", "extra").agg(F.sum("r").alias("r"))
     return total.filter(F.col("r") > HAN_EVIDENCE).select("doc_id", "unit_id", "pos", "extra")
 
 
