@@ -37,6 +37,7 @@ def test_words_pool_cases_patterns_do_not(spark):
 def test_bad_pattern_is_reported_and_blank_hits_take_numbers(spark):
     rules, errors = keywords.rules((), ("(", r"\s+|x"), {})
     assert len(errors) == 1 and len(rules) == 1
+    assert [e[:2] for e in keywords.rules((), ("(a", "[b", "x", "(a"), {})[1]] == ["(a", "[b"]
     hits = keywords.find_hits(texts(spark, [("A", "  x")]), rules, KEEP).collect()
     assert [(h["hit_no"], h["matched_text"]) for h in hits] == [(2, "x")]
 

@@ -68,6 +68,9 @@ def test_end_to_end(spark, case, tmp_path):
     assert {"parse_documents", "similarity", "keywords", "metadata", "images", "report"} <= set(r.stage_seconds) and "similarity" in said
     page = (tmp_path / "out/report.html").read_text(encoding="utf-8")
     assert "https://" not in page and "compare_" in page
+    digest = json.loads((tmp_path / "out/ai_summary.json").read_text(encoding="utf-8"))
+    assert set(digest["evidence"]) == {"similar_text", "excluded_text", "keyword_alerts", "metadata_alerts", "image_duplicates"} and digest["limits"]["text_chars_per_side"] == 320
+    assert all(e["total_count"] == e["sample_count"] + e["omitted_count"] == len(e["samples"]) + e["omitted_count"] for e in digest["evidence"].values()) and digest["output_files"]["result"]
     assert (tmp_path / "out/ai_summary.json").stat().st_size < (tmp_path / "out/result.json").stat().st_size
     assert len(list((tmp_path / "out").glob("compare_*.html"))) == 1
 
@@ -119,7 +122,47 @@ def test_markdown_cleanup_and_plain_text():
     assert markdown.decode("中文".encode("gb18030")) == "中文" and markdown.decode(b"\xef\xbb\xbfa\r\nb") == "a\nb"
 
 
+def test_markup_pairs():
+    pairs = {"_~__~__": "~~_", "# A **b** ##": "A b", "# ##": "##", "# - ##": "-", "> 1. x | y": "x y", "|---|---|": "", "a\tb": "a\tb", "***x***": "x", "__a__b_": "ab_", "[t](u)![i](p)`c`<b>": "t"}
+    assert {raw: markdown.strip(raw) for raw in pairs} == pairs
+
+
+def test_names_of_any_kind(spark, tmp_path):
+    names = ["方案 一.txt", "a%20b.txt", "[x]{y}#z.txt"]
+    for n in names:
+        (tmp_path / n).write_text(f"内容 {n}", encoding="utf-8")
+    got = files.read_documents(spark, (Group("甲", tuple(str(tmp_path / n) for n in names)),)).collect()
+    assert {r["file_name"]: r["blocks"] for r in got} == {n: [f"内容 {n}"] for n in names}
+
+
+def test_merged_cells_and_boxes():
+    w = lambda inner: f'<w:p xmlns:w="{W}"><w:r>{inner}</w:r></w:p>'
+    assert docx._paragraph(docx.ET.fromstring(w("<w:t>正文</w:t><w:pict><w:txbxContent><w:p><w:r><w:t>框</w:t></w:r></w:p></w:txbxContent></w:pict><w:tab/><w:t>尾</w:t>"))) == "正文\t尾"
+    cell = lambda text, props="": f"<w:tc><w:tcPr>{props}</w:tcPr><w:p><w:r><w:t>{text}</w:t></w:r></w:p></w:tc>"
+    row = lambda *cells: docx.ET.fromstring(f'<w:tr xmlns:w="{W}">{"".join(cells)}</w:tr>')
+    first = docx._cells(row(cell("甲", '<w:vMerge w:val="restart"/>'), cell("乙", '<w:gridSpan w:val="2"/>')), [])
+    assert first == ["甲", "乙", "乙"] and docx._cells(row(cell("", "<w:vMerge/>"), cell("丙"), cell("丁")), first) == ["甲", "丙", "丁"]
+
+
+def test_recognised_texts_may_be_methods():
+    class Page:
+        def json(self):
+            return {"rec_texts": ["第一行", "第二行"]}
+
+    assert pdf.find_texts(Page()) == ["第一行", "第二行"]
+
+
+def test_sql_functions(spark):
+    from textloom.functions.text import register
+
+    register(spark)
+    got = spark.sql("select split_units('甲方提供图纸；乙方复核数据；丙方归档', null, null, null) u, parse_document('a.md', cast('# 标 **题**' as binary)).blocks b, parse_document('a.xyz', cast('x' as binary)).blocks c").first()
+    assert len(got["u"]) == 3 and got["b"] == ["标 题"] and got["c"] == ["x"]
+
+
 def test_pictures():
+    bmp = b"BM" + struct.pack("<IHHIIiiHHIIiiII", 54 + 12 * 4, 0, 0, 54, 40, 4, 4, 1, 24, 0, 48, 0, 0, 0, 0) + bytes([9, 8, 7] * 16)
+    assert pictures.pixels(bmp).tolist() == [[[7, 8, 9]] * 4] * 4 and pictures.describe(bmp)["width"] == 4
     flat, step = pictures.describe(png(255)), pictures.describe(png(0))
     assert flat["ahash"] == "f" * 16 and step["ahash"] == "f0" * 8 and (step["width"], step["height"]) == (16, 16)
     assert pictures.describe(b"junk")["ahash"] is None

@@ -17,7 +17,7 @@ from textloom.operators import summary
 from textloom.plans.engine import CheckResult
 
 #: How much of each kind the sampled summary and the report show.
-LIMITS = {"active": (20, 160), "excluded": (8, 80), "hits": 10, "images": 30, "text": 240, "keyword_rows": 5, "metadata_rows": 8}
+LIMITS = {"active": (20, 160), "excluded": (8, 80), "hits": 10, "images": 30, "text": 320, "keyword_rows": 5, "metadata_rows": 8}
 SCHEMA = "textloom.ai_summary.v1"
 MATCH_COLUMNS = ["match_id", "unit_id_a", "unit_id_b", "group_a", "group_b", "file_a", "file_b", "location_a", "location_b", "text_a", "text_b", "similarity", "excluded", "exclude_reason"]
 STYLE = "body{font-family:sans-serif;margin:2em;color:#222}table{border-collapse:collapse;margin:1em 0}td,th{border:1px solid #ccc;padding:4px 8px;vertical-align:top}mark{background:#ffe08a}.cards{display:flex;flex-wrap:wrap;gap:1em}.card{border:1px solid #ccc;border-radius:6px;padding:8px 14px}.card b{display:block;font-size:1.4em}.sides{display:flex;gap:1em}.side{flex:1}.unit{padding:3px;margin:2px 0}.badge{background:#333;color:#fff;border-radius:8px;padding:0 6px;font-size:.8em;margin-left:4px}.excluded{opacity:.7}"
@@ -94,17 +94,38 @@ def result_document(r: CheckResult) -> dict:
     }
 
 
-def ai_summary(r: CheckResult, document: dict) -> dict:
-    """A sampled digest: capped matches for each pair and in all, capped hits and images, short texts."""
-    samples, skipped = {}, {}
-    for name, excluded in (("active", False), ("excluded", True)):
-        per_pair, total = LIMITS[name]
+def _sampled(samples: list[dict], total: int) -> dict:
+    return {"total_count": total, "sample_count": len(samples), "omitted_count": max(0, total - len(samples)), "samples": samples}
+
+
+def ai_summary(r: CheckResult, document: dict, output_files: dict[str, Any] | None = None) -> dict:
+    """A sampled digest for programs: what was found with capped evidence, how much of it is left out, and the caps."""
+    evidence: dict[str, Any] = {}
+    shown = ("match_id", "group_a", "group_b", "file_a", "file_b", "location_a", "location_b")
+    for name, kind, excluded in (("similar_text", "active", False), ("excluded_text", "excluded", True)):
+        per_pair, total = LIMITS[kind]
         kept = rows(summary.sampled(r.matches.filter(F.col("excluded") == excluded), [], per_pair, total).orderBy(F.desc("similarity"), "match_id"))
-        samples[name] = [{**{k: m[k] for k in ("match_id", "group_a", "group_b", "file_a", "file_b", "location_a", "location_b")}, "similarity": round(m["similarity"], 4), "text_a": short(m["text_a"]), "text_b": short(m["text_b"])} for m in kept]
-        skipped[name] = sum(m["excluded"] == excluded for m in document["matches"]) - len(kept)
-    stats = document["stats"] | {f"has_{k}": bool(document["stats"][n]) for k, n in (("similar_matches", "similar_match_count"), ("keyword_alerts", "keyword_alert_count"), ("metadata_alerts", "metadata_alert_count"), ("image_duplicates", "image_duplicate_count"))}
-    few = lambda a: a | {"hits": a["hits"][: LIMITS["hits"]], "hit_count": len(a["hits"])}
-    return {"schema": SCHEMA, "stats": stats, "options": document["options"], "pair_summaries": document["pair_summaries"], "matches": samples["active"], "excluded_matches": samples["excluded"], "skipped": skipped, "keyword_alerts": [few(a) for a in document["keyword_alerts"]], "metadata_alerts": [few(a) for a in document["metadata_alerts"]], "image_duplicates": [d | {"images": d["images"][: LIMITS["images"]]} for d in document["image_duplicates"][: LIMITS["images"]]]}
+        samples = [{k: m[k] for k in shown} | {"similarity": round(m["similarity"], 4), "text_a": short(m["text_a"]), "text_b": short(m["text_b"]), "exclude_reason": m["exclude_reason"]} for m in kept]
+        evidence[name] = _sampled(samples, sum(m["excluded"] == excluded for m in document["matches"]))
+    few = lambda a: a | {"hit_count": len(a["hits"]), "omitted_hits": max(0, len(a["hits"]) - LIMITS["hits"]), "hits": a["hits"][: LIMITS["hits"]]}
+    for name in ("keyword_alerts", "metadata_alerts"):
+        evidence[name] = _sampled([few(a) for a in document[name]], len(document[name]))
+    pictures = [{"kind": d["kind"], "distance": d["distance"], "images": [{k: i[k] for k in ("group_name", "file_name", "image_id", "source")} for i in d["images"]]} for d in document["image_duplicates"][: LIMITS["images"]]]
+    evidence["image_duplicates"] = _sampled(pictures, len(document["image_duplicates"]))
+    has = {f"has_{k}": bool(document["stats"][n]) for k, n in (("similar_matches", "similar_match_count"), ("keyword_alerts", "keyword_alert_count"), ("metadata_alerts", "metadata_alert_count"), ("image_duplicates", "image_duplicate_count"))}
+    caps = {f"{name}_{what}": n for name, kind in (("similar_text", "active"), ("excluded_text", "excluded")) for what, n in zip(("per_pair", "total"), LIMITS[kind])}
+    caps |= {"keyword_hits_per_rule": LIMITS["hits"], "metadata_hits_per_alert": LIMITS["hits"], "image_duplicate_groups": LIMITS["images"], "text_chars_per_side": LIMITS["text"]}
+    return {
+        "schema": SCHEMA,
+        "purpose": "摘要：判断各组之间是否有重复文本、共享关键词、相同元数据或重复图片；全部结果见 result.json，对照页见 report.html。",
+        "generated_at": document.get("generated_at", ""),
+        "stats": document["stats"] | has,
+        "output_files": output_files or {},
+        "options": document["options"],
+        "pair_summaries": document["pair_summaries"],
+        "evidence": evidence,
+        "limits": caps,
+    }
 
 
 def _grid(head: list[str], body: list[list[str]], attributes: list[str] | None = None) -> str:
@@ -191,13 +212,17 @@ def write_bundle(r: CheckResult, output_dir: str, tables: bool = False) -> dict[
     for p in document["pair_summaries"]:
         if p["match_count"] or p["excluded_count"]:
             pages[p["group_a"], p["group_b"]] = f"{safe_name(f'compare_{p["group_a"]}_{p["group_b"]}', taken)}.html"
+    by_pair: dict[tuple[str, str], list[dict]] = {k: [] for k in pages}
+    for m in document["matches"]:
+        for k in {(m["group_a"], m["group_b"]), (m["group_b"], m["group_a"])} & by_pair.keys():
+            by_pair[k].append(m)
     for (a, b), page in pages.items():
-        (folder / page).write_text(compare_page(document, a, b), encoding="utf-8")
+        (folder / page).write_text(compare_page(document | {"matches": by_pair[a, b]}, a, b), encoding="utf-8")
     dump = lambda x: json.dumps(x, ensure_ascii=False, indent=2, default=str)
     files = {"ai_summary": "ai_summary.json", "report": "report.html", "result": "result.json"}
-    (folder / files["ai_summary"]).write_text(dump(ai_summary(r, document)), encoding="utf-8")
-    (folder / files["report"]).write_text(report_page(document, pages), encoding="utf-8")
     document["output_files"] = {k: str(folder / v) for k, v in files.items()} | {"compare": [str(folder / p) for p in pages.values()]}
+    (folder / files["ai_summary"]).write_text(dump(ai_summary(r, document, document["output_files"])), encoding="utf-8")
+    (folder / files["report"]).write_text(report_page(document, pages), encoding="utf-8")
     for _ in range(2):  # the second time its own size is known
         (folder / files["result"]).write_text(dump(document), encoding="utf-8")
         document["output_bytes"] = {k: (folder / v).stat().st_size for k, v in files.items()}

@@ -20,26 +20,30 @@ def _local(tag: str) -> str:
     return tag.rsplit("}", 1)[-1]
 
 
+#: What floats beside the text (boxes, drawings and their stand-ins) is no part of a paragraph.
+FLOATING = {"AlternateContent", "pict", "drawing", "object", "txbxContent"}
+_MARKS = {"tab": "\t", "br": "\n", "cr": "\n"}
+
+
 def _paragraph(p: ET.Element) -> str:
-    out = []
-    for node in p.iter():
-        kind = _local(node.tag)
-        if kind == "t":
-            out.append(node.text or "")
-        elif kind == "tab":
-            out.append("\t")
-        elif kind in ("br", "cr"):
-            out.append("\n")
-    return "".join(out)
-
-
-def _cells(row: ET.Element) -> list[str]:
-    """The texts of a row's cells; a cell over several columns stands once for each."""
-    out = []
+    kind = _local(p.tag)
+    if kind in FLOATING:
+        return ""
+    return (p.text or "") if kind == "t" else _MARKS.get(kind) or "".join(map(_paragraph, p))
+
+
+def _cells(row: ET.Element, above: list[str]) -> list[str]:
+    """The texts of a row's cells; a cell over several columns stands once for each, one merged down repeats the text
+    above it."""
+    out: list[str] = []
     for cell in row.findall(f"{W}tc"):
-        text = "\n".join(_paragraph(p) for p in cell.findall(f"{W}p")).strip().replace("\n", " ")
-        span = cell.find(f"{W}tcPr/{W}gridSpan")
-        out += [text] * (int(span.get(f"{W}val", "1")) if span is not None else 1)
+        span, down = cell.find(f"{W}tcPr/{W}gridSpan"), cell.find(f"{W}tcPr/{W}vMerge")
+        wide = int(span.get(f"{W}val", "1")) if span is not None else 1
+        if down is not None and down.get(f"{W}val", "continue") == "continue" and len(above) > len(out):
+            text = above[len(out)]
+        else:
+            text = "\n".join(_paragraph(p) for p in cell.findall(f"{W}p")).strip().replace("\n", " ")
+        out += [text] * wide
     return out
 
 
@@ -50,10 +54,11 @@ def blocks(archive: zipfile.ZipFile) -> list[str]:
         return []
     out = [t for t in (_paragraph(p).strip() for p in body.findall(f"{W}p")) if t]
     for k, grid in enumerate(body.findall(f"{W}tbl"), start=1):
+        cells: list[str] = []
         for r, row in enumerate(grid.findall(f"{W}tr"), start=1):
-            cells = [c for c in _cells(row) if c]
-            if cells:
-                out.append(f"表{k} 行{r}: " + " | ".join(cells))
+            cells = _cells(row, cells)
+            if any(cells):
+                out.append(f"表{k} 行{r}: " + " | ".join(c for c in cells if c))
     return out
 
 

@@ -36,8 +36,8 @@ def find_texts(result: Any) -> list[str]:
         return [t for v in result if not isinstance(v, (int, float)) for t in find_texts(v)]
     for name in ("json", "res"):
         inner = getattr(result, name, None)
-        if inner is not None and not callable(inner):
-            return find_texts(inner)
+        if inner is not None:
+            return find_texts(inner() if callable(inner) else inner)
     return []
 
 
@@ -45,6 +45,14 @@ def recognised_blocks(results: list[Any]) -> list[str]:
     return page_blocks(["\n".join(t for t in find_texts(r) if t.strip()) for r in results])
 
 
+def _date(info: Any, name: str) -> str:
+    """A date of the document as ISO time to the second; '' where it is missing or can't be read."""
+    try:
+        return getattr(info, name).isoformat(timespec="seconds")
+    except Exception:  # the value then stays as it is written
+        return ""
+
+
 def read(content: bytes, mode: str = "auto", least: int = 20, provider: Provider | None = None) -> tuple[list[str], dict[str, str]]:
     """(blocks, metadata). Mode auto recognises only where the text layer has fewer than `least` visible characters."""
     blocks: list[str] = []
@@ -62,6 +70,7 @@ def read(content: bytes, mode: str = "auto", least: int = 20, provider: Provider
             blocks = page_blocks([page.extract_text() or "" for page in reader.pages])
             info = reader.metadata or {}
             meta = {"page_count": str(len(reader.pages))} | {n: str(info[k]) for k, n in {"/Title": "title", "/Author": "author", "/Subject": "subject", "/Creator": "creator", "/Producer": "producer", "/CreationDate": "created", "/ModDate": "modified"}.items() if info.get(k)}
+            meta |= {n: t for n, t in (("created", _date(info, "creation_date")), ("modified", _date(info, "modification_date"))) if t}
     shown = sum(len(_SHOWN.findall(b)) for b in blocks)
     if mode == "off" and not shown:
         raise PdfError("the PDF has no text layer and recognition is off")
