@@ -93,3 +93,11 @@ def test_number_units_is_dense_and_ordered(spark):
     assert [r["pos"] for r in rows] == list(range(1, 501))
     keys = [(r["group_index"], r["location"], r["unit_seq"]) for r in rows]
     assert keys == sorted(keys)
+
+
+def test_matches_are_numbered_across_blocks(spark):
+    rows = [(a, b, (a * 7 + b) % 5) for a in range(1, 12) for b in range(a + 1, 14) if (a + b) % 3]
+    df = spark.createDataFrame(rows, "pos_a long, pos_b long, shared long")
+    got = {(r["pos_a"], r["pos_b"]): r["match_id"] for r in similarity.number_matches(df, block=3).collect()}
+    order = sorted(rows, key=lambda r: (r[0], -r[2], r[1]))
+    assert got == {(a, b): f"M{k:05d}" for k, (a, b, _) in enumerate(order, start=1)}
