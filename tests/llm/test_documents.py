@@ -45,6 +45,22 @@ def test_pack(spark):
     assert w["tokens"] == sum(n for _, n in sizes) and w["containers"] == len(used)
 
 
+def test_audit_sees_what_is_wrong(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (None, "x")], "doc_id long, text string")
+    packed = [(1, 0, 0, 60, "g-0"), (2, 0, 0, 50, "g-0"), (2, 1, 60, 10, "g-1")]
+    df = spark.createDataFrame(packed, "doc_id long, piece int, first_token long, n_tokens long, container string")
+    assert packing.audit(docs, df, 100).first().asDict() == {"documents": 3, "lost": 1, "gaps": 1, "needless_cuts": 1, "overfull": 1}
+
+
+def test_full_pieces_fill_their_own_containers(spark):
+    sizes = spark.createDataFrame([(k, 2048 * 3 + (k % 2)) for k in range(40)], "doc_id long, n_tokens long")
+    rows = packing.pack(sizes, group_items=50).collect()
+    used = {}
+    for x in rows:
+        used[x["container"]] = used.get(x["container"], 0) + x["n_tokens"]
+    assert len(rows) == 140 and sorted(used.values())[-120:] == [2048] * 120 and max(used.values()) == 2048
+
+
 def test_pack_nothing(spark):
     empty = spark.createDataFrame([], "doc_id long, n_tokens long")
     assert packing.pack(empty).count() == 0 and packing.waste(packing.pack(empty)).first()["containers"] == 0
