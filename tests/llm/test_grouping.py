@@ -177,8 +177,9 @@ def test_every_run_has_a_landmark(half, whole):
 
 def test_hashes_tell_windows_apart():
     t = spans.Texts(["abcabcabd", "xabcab"], 9)
-    h = {(int(x), int(y)) for x, y in zip(*t.at(np.array([0, 3, 10]), np.array([5, 5, 5])))}
-    assert len(h) == 2 and t.at(np.array([0]), np.array([5]))[0] == t.at(np.array([10]), np.array([5]))[0]
+    of = lambda place, length: tuple(int(h[0]) for h in t.at(np.array([place]), np.array([length])))
+    assert of(0, 5) == of(3, 5) == of(10, 5) and of(0, 5) != of(4, 5) and of(0, 3) == of(3, 3) and of(0, 3) != of(0, 4)
+    assert len({of(place, 6) for place in (0, 1, 2, 3)}) == 4
 
 
 def test_spans_of_nothing(spark):
