@@ -9,8 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import checkpoint, code_points, match_records, mix64, norm
+from textloom.functions.text import compare_form
+from textloom.llm.common import checkpoint, code_points, match_records, mix64
 from textloom.llm.components import hash_to_min
+from textloom.plans.tables import nfkc_text
 
 GRAM = 3
 #: A fingerprint is BLOCKS x WIDTH minwise values of a record's grams; balls are taken around each block of WIDTH.
@@ -67,11 +69,6 @@ def _emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"key": keys.ravel().view(np.int64), "rep": np.repeat(part["rep"].to_numpy(), keys.shape[1]), "meta": meta.ravel().astype(np.int32)})
 
 
-def _normal(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for batch in batches:
-        yield batch.map(norm, na_action="ignore")
-
-
 def _jaccard(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     grams: dict[str, frozenset] = {}
 
@@ -97,9 +94,10 @@ def classes(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Members (unit_id, rep) and classes (rep, norm, copies): records with one comparison form are one class.
 
     Forms of fewer than three characters are classes too, but they have no 3-character substring, so no class is near to
-    them. Null texts take no part. Classes are told apart by 128 bits of their form and then numbered.
+    them. Null texts take no part. Classes are told apart by 128 bits of their form and then numbered. Forms are made in the JVM
+    where full-width ASCII is all that NFKC has to settle.
     """
-    rows = records.select("unit_id", F.pandas_udf(_normal, "string")("text").alias("norm")).filter("norm is not null")
+    rows = records.filter("text is not null").select("unit_id", compare_form(nfkc_text(F.col("text"))).alias("norm"))
     rows = checkpoint(rows.select("unit_id", "norm", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(7), "norm").alias("h2")))
     forms = rows.groupBy("h1", "h2", "norm").agg(F.count(F.lit(1)).alias("copies")).withColumn("rep", F.monotonically_increasing_id())
     forms = checkpoint(forms)
