@@ -1,9 +1,12 @@
 """Runs matched in one task against the joins and against brute force."""
 
+import random
+
 import pytest
 
-from tests.test_similarity import SCHEMA, brute, world
-from textloom.operators import runs
+from tests.test_similarity import SCHEMA, brute, unit, world
+from textloom.functions.text import ngrams
+from textloom.operators import runs, similarity
 from textloom.plans import queries as q
 from pyspark.sql import functions as F
 
@@ -23,18 +26,37 @@ def test_a_run_in_one_task_equals_brute_force(spark, top, cap):
     assert set(got) == set(expect) and all(abs(got[k] - expect[k]) < 1e-12 for k in got)
 
 
+@pytest.mark.parametrize("n,cap,cells", [(3, 300, 1 << 21), (2, 10, 64), (4, 300, 1), (5, 4, 1 << 21)])
+def test_a_run_in_one_task_equals_the_joins(spark, monkeypatch, n, cap, cells):
+    r = random.Random(n)
+    own = world(80, seed=n)
+    templates = [unit(200 + k, -1, "".join(c if r.random() > 0.05 else "x" for c in r.choice(own)[8])) for k in range(20)]
+    df = asked(spark.createDataFrame(own + templates, SCHEMA), n).withColumn("ngrams", ngrams(F.col("normalized"), n)).localCheckpoint()
+    mine, theirs = df.filter("group_index >= 0"), df.filter("group_index < 0")
+    expect = similarity.with_exclusion(similarity.text_matches(mine, ["run"], 0.78, cap, 5).localCheckpoint(), mine, theirs, ["run"], 0.86, cap)
+    monkeypatch.setattr(runs, "_CELLS", cells)
+    table = df.select("run", "group_index", *runs._SHOWN, "pos", "normalized", "ngram_size", "threshold", "exclude_threshold").toArrow()
+    found = runs.match_run(table, ["run"], True, cap, 5)
+    got = similarity.exclusion(spark.createDataFrame(found)) if found.num_rows else None
+    columns = ["pos_a", "pos_b", "shared", "similarity", "text_a", "unit_id_b", "excluded", "exclude_reason"]
+    expect = sorted(tuple(x) for x in expect.select(columns).collect())
+    assert expect and any(x[6] for x in expect)
+    assert sorted(tuple(x) for x in got.select(columns).collect()) == expect
+
+
 def test_grams_are_equal_if_their_strings_are():
     unit_, gram, n = runs.grams_of(["甲乙丙丁𠀀", "丙丁𠀀", "乙丙丁𠀀", "", "aaaa"], __import__("numpy").array([3, 4, 4, 3, 2]))
     by = [set(gram[unit_ == k].tolist()) for k in range(5)]
     assert [len(x) for x in by] == [3, 1, 1, 0, 1] and by[1] < by[0] and not by[2] & by[0] and n == 5
 
 
-def test_stored_runs_match_as_by_joins_without_shuffling_postings(spark):
+@pytest.mark.parametrize("exclude", [False, True])
+def test_stored_runs_match_as_by_joins_without_shuffling_postings(spark, exclude):
     """The joins sent every posting and pair through the disk: 35 exchanges, over 4 times the input."""
-    found = q.similarity_scored(spark, SF)
+    found = (q.similarity_excluded if exclude else q.similarity_scored)(spark, SF)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") <= 2 and "Generate" not in plan
-    by_joins = q._matched(spark, SF, False, chars=0)
+    by_joins = q._matched(spark, SF, exclude, chars=0)
     assert found.dtypes == by_joins.dtypes
     assert sorted(map(repr, found.collect())) == sorted(map(repr, by_joins.collect()))
 
