@@ -254,3 +254,32 @@ def test_a_rule_nearby_clears_nothing(scorer, text):
 @pytest.mark.parametrize("text", RULED)
 def test_a_rule_that_governs_clears(scorer, text):
     assert worst(scorer, text) < abuse.THRESHOLD
+
+
+def labelled_tables(spark, rows):
+    d = spark.createDataFrame([(k, text, "s") for k, (text, _, _) in enumerate(rows)], "doc_id long, text string, source string")
+    return d, spark.createDataFrame([(k, toxic, kind) for k, (_, toxic, kind) in enumerate(rows)], "doc_id long, toxic int, category string")
+
+
+def test_models_come_from_all_labelled_documents(spark):
+    """The wording stands in flagged documents after the first 800 only, where the sample ended."""
+    trade = "由测量员签认材料后方可转换设备。"
+    rude = "帮的人只配住在猪圈里闻臭。"
+    rows = [(trade + "你这个白痴。", 1, "insult")] * 800 + [(trade + c + rude, 1, "hate") for c in "甲乙丙丁戊己" * 5] + [(trade, 0, None)] * 60
+    d, labels = labelled_tables(spark, rows)
+    score = {r["doc_id"]: (r["score"], r["category"]) for r in abuse.scored(d, labels).filter("doc_id >= 800").collect()}
+    assert all(score[k][0] >= abuse.THRESHOLD and score[k][1] == "hate" for k in range(800, 830)) and all(score[k][0] < abuse.THRESHOLD for k in range(830, 890))
+
+
+@pytest.mark.parametrize("broadcast_ids", [2_000_000, 0])
+def test_models_of_tables_are_those_of_rows(spark, monkeypatch, broadcast_ids):
+    r = random.Random(3)
+    trade = lambda: "".join(r.choice("由测量员签认材料后方可转换设备与模块的清单") for _ in range(20)) + "。"
+    rows = [(trade() + (f"{'甲乙丙'[k % 3]}帮的人只配住在猪圈里闻臭。" if k % 2 else "the valve is kept。") + trade(), k % 2, "hate" if k % 2 and k % 7 else None) for k in range(60)]
+    d, labels = labelled_tables(spark, rows)
+    everything = abuse.labelled
+    monkeypatch.setattr(abuse, "labelled", lambda *tables: everything(*tables, broadcast_ids))
+    got, expect = abuse.fit_tables(d.repartition(5), labels.union(labels)), abuse.fit(rows)
+    assert (got.model.one, got.model.two, got.model.three, got.model.words) == (expect.model.one, expect.model.two, expect.model.three, expect.model.words)
+    assert abs(got.weights - expect.weights).max() < 1e-4 and abs(got.bias - expect.bias) < 1e-6 and got.weights.any()
+    assert got.scores([t for t, _, _ in rows]) == expect.scores([t for t, _, _ in rows])
