@@ -8,6 +8,7 @@ from tests.test_similarity import SCHEMA, brute, unit, world
 from textloom.functions.text import ngrams
 from textloom.operators import runs, similarity
 from textloom.plans import queries as q
+from textloom.plans import tables as t
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -64,3 +65,29 @@ def test_stored_runs_match_as_by_joins_without_shuffling_postings(spark, exclude
 def test_only_large_runs_go_through_joins(spark):
     u = spark.createDataFrame([("a", "x" * 9), ("a", "y"), ("b", "z"), (None, "x" * 99)], "case_id string, text string")
     assert [r[0] for r in runs.large_runs(u, ["case_id"], 9).collect()] == ["a"]
+
+
+@pytest.mark.parametrize("exclude", [False, True])
+def test_texts_of_stored_runs_are_shuffled_once(spark, exclude):
+    """Texts were shuffled to settle repeated rows and again, with their forms, for the runs: over 4 times the input."""
+    found = q._matched(spark, SF, exclude)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("ArrowEvalPython") == 1
+
+
+@pytest.mark.parametrize("most", [9, 0])
+def test_units_by_run_settles_repeated_rows_within_and_across_runs(spark, tmp_path, most):
+    rows = [
+        ("u1", 1, "a", "old", 1), ("u1", 1, "a", "new", 2), ("u1", 1, "a", None, 3),  # within a run
+        ("u2", 2, "a", "kept", 5), ("u2", 2, "b", "lost", 4), ("u2", 2, "b", "", 6),  # in two runs
+        ("u3", 3, None, "no run", 9), ("u3", 3, "b", "lost to it", 1),
+        (None, 4, "a", "ﬁrst", 1), (None, 4, "b", "ﬁnal", 1), ("u5", None, "b", "ＡＢ①", 1), ("u6", 6, None, "none", 1), ("u7", 7, "b", None, 1),
+    ]
+    df = spark.createDataFrame(rows, "unit_id string, pos long, case_id string, text string, loaded_at long")
+    df.coalesce(1).write.parquet(f"{tmp_path}/text_units.parquet")
+    columns = ["case_id", "text"]
+    expect = t.units(spark, str(tmp_path), columns).filter("case_id is not null").select("unit_id", "pos", "case_id", "text", t.nfkc_text(F.coalesce("text", F.lit(""))).alias("plain"))
+    by_run = t.units_by_run(spark, str(tmp_path), columns, most)
+    got = by_run.select("unit_id", "pos", "case_id", "text", t.nfkc_text(F.coalesce("text", F.lit("")), F.col("odd")).alias("plain"))
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, expect.collect()))
+    assert {r["text"] for r in got.collect()} == {"new", "kept", "ﬁrst", "ＡＢ①", None}
