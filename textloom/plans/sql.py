@@ -15,8 +15,11 @@ images as (select once.*, files.case_id, lpad(cast(once.doc_id as varchar), 19,
 _STORED = """stored as (select case_id, pos, unit_id, min(normalized) as form, min(group_index) as group_index from text_units
   where normalized <> '' and group_index >= 0 and comparable group by case_id, pos, unit_id),
 grams as (select case_id, pos, unnest(list_distinct(case when length(form) <= 3 then [form] else list_transform(range(1, length(form) - 1), lambda i: substring(form, i, 3)) end)) as gram from stored)"""
-_SHARED = """
-df as (select case_id, gram from grams group by case_id, gram having count(*) between 2 and 300),
+
+
+def _shared(several: str, kept: str) -> str:
+    return f"""
+df as (select case_id, gram from grams group by case_id, gram having count(*) {several}),
 held as (select grams.* from grams join df using (case_id, gram)),
 sizes as (select case_id, pos, count(*) as n from grams group by case_id, pos),
 parts as (
@@ -25,7 +28,12 @@ parts as (
   select a.case_id, a.pos, b.pos, greatest(sizes.n, 1) from stored a join stored b on a.case_id = b.case_id and a.form = b.form and a.pos < b.pos
   join sizes on sizes.case_id = a.case_id and sizes.pos = a.pos),
 shared as (select case_id, pos_a, pos_b, cast(sum(s) as bigint) as shared from parts group by case_id, pos_a, pos_b),
-top as (select case_id, pos_a, pos_b, shared from (select *, row_number() over (partition by case_id, pos_a order by shared desc, pos_b) as rn from shared) x where rn <= 200)"""
+top as (select case_id, pos_a, pos_b, shared from {kept})"""
+
+
+_SHARED = _shared("between 2 and 300", "(select *, row_number() over (partition by case_id, pos_a order by shared desc, pos_b) as rn from shared) x where rn <= 200")
+#: All pairs that share an n-gram or the form.
+_ALL_SHARED = _shared(">= 2", "shared")
 _ABLE = """case when regexp_matches(text, '[\\x{3400}-\\x{9fff}]') then length(regexp_replace(text, '[^\\p{L}\\p{N}_]', '', 'g')) >= coalesce(min_chars, 10)
   else len(regexp_extract_all(text, '[A-Za-z0-9_]+')) >= coalesce(min_words, 8) end"""
 _OWN = f"""{_UNITS},
@@ -62,7 +70,8 @@ split as (
 common as (select id, sum(n) as n from split group by id)""".replace("pairs", f"{p}pairs").replace("cells", f"{p}cells").replace("split", f"{p}split").replace("common", f"{p}common")
 
 
-_SCORED = f"""{_OWN_GRAMS}, {_SHARED},
+def _scored(shared: str) -> str:
+    return f"""{_OWN_GRAMS}, {shared},
 sides as (select top.*, a.group_index as ga, b.group_index as gb, a.form as a, b.form as b, na.n as na, nb.n as nb, a.threshold from top
   join stored a on a.case_id = top.case_id and a.pos = top.pos_a join stored b on b.case_id = top.case_id and b.pos = top.pos_b
   join sizes na on na.case_id = top.case_id and na.pos = top.pos_a join sizes nb on nb.case_id = top.case_id and nb.pos = top.pos_b),
@@ -74,7 +83,9 @@ pairs as (select row_number() over () as id, a, b from (select distinct a, b fro
 {_runs("")},
 ratios as (select a, b, 2.0 * cast(n as double) / (length(a) + length(b)) as ratio from pairs join common using (id)),
 scored as (select case_id, pos_a, pos_b, shared, threshold, case when a = b then 1.0::double else cast(0.62 as double) * ratio + cast(0.38 as double) * jaccard end as similarity from jac left join ratios using (a, b) where a = b or ratio is not null)"""
-_EXCLUDED = f"""{_SCORED},
+
+
+_EXCLUDED = f"""{_scored(_SHARED)},
 found as (select * from scored where similarity >= threshold),
 needed as (select stored.* from stored semi join (select case_id, pos_a as pos from found union select case_id, pos_b from found) x using (case_id, pos)),
 templates as (select * from own where able and form <> '' and group_index < 0),
@@ -193,7 +204,7 @@ from text_units where comparable and normalized <> '' and group_index >= 0 group
         "stop_grams": f"with {_STORED} select gram, count(*) as df from grams group by gram having count(*) > 300",
         "ngram_candidates_topk": f"with {_STORED}, {_SHARED} select pos_a, pos_b, shared from top",
         "jaccard_pairs": f"with {_STORED}, {_JACCARD}",
-        "similarity_scored": f"with recursive {_SCORED} {_SIDES} from scored s {_SIDES_OF} where s.similarity >= s.threshold",
+        "similarity_scored": f"with recursive {_scored(_ALL_SHARED)} {_SIDES} from scored s {_SIDES_OF} where s.similarity >= s.threshold",
         "similarity_excluded": f"""
 with recursive {_EXCLUDED} {_SIDES}, x.score is not null and y.score is not null as excluded,
   case when x.score is not null and y.score is not null then printf('两侧均匹配排除文件：%s (%.2f) / %s (%.2f)', x.exclude_file, x.score, y.exclude_file, y.score) end as exclude_reason
