@@ -107,3 +107,13 @@ def test_all_matches_by_joins_equal_brute_force(spark, seed):
     found = similarity.text_matches(spark.createDataFrame(rows, schema), []).collect()
     expect = brute(units)
     assert len(found) == len(expect) and {(r["pos_a"], r["pos_b"]): r["shared"] for r in found} == {p: s[0] for p, s in expect.items()}
+
+
+@pytest.mark.parametrize("room", [300, 2_000])
+def test_large_runs_are_matched_in_parts(spark, room):
+    """The joins did not end in 290 s for one run of 9.5 million characters."""
+    sf = "/root/testdata/sf0.001"
+    found = q._matched(spark, sf, False, 0, room)
+    assert found._jdf.queryExecution().executedPlan().toString().count("FlatMapGroupsInArrow") == 2
+    expect = q.similarity_scored(spark, sf).collect()
+    assert len(expect) > 100 and sorted(map(repr, found.collect())) == sorted(map(repr, expect))
